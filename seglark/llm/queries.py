@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, shards
+from . import bpe, lm, mixing, shards, topk, toxicity, warc
 from .common import documents, scratch
 
 
@@ -16,14 +17,63 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode and decode every text; digests of both."""
     return bpe.digests(documents(spark, sf_dir), tokenizer_path())
 
 
 def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every text's ids to shards and read them back."""
     out = scratch(spark, "shards")
     shards.write(documents(spark, sf_dir), out, tokenizer_path(), end_id=2)
     return shards.scan(spark, out, "crc32")
 
 
-QUERIES = {"op1_bpe_trie": op1_bpe_trie, "op2_token_shards": op2_token_shards}
-ORACLES: dict[str, str] = {}
+def op3_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive all pages, spoil some records of a replica, and locate them."""
+    ours, theirs = scratch(spark, "warc-a"), scratch(spark, "warc-b")
+    index = warc.write(documents(spark, sf_dir, "pages"), ours)
+    warc.replicate(spark, ours, theirs, F.col("page_id") % 61 == 7)
+    found = warc.audit(warc.tree(warc.digests(spark, ours)), warc.tree(warc.digests(spark, theirs)))
+    return found.join(index.select("shard", "record", "page_id"), ["shard", "record"]).select("page_id", "kind")
+
+
+def op4_lm_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every text with the model learnt from the documents not held out."""
+    return lm.score(documents(spark, sf_dir))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of every text, learnt from ``labels``."""
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, documents(spark, sf_dir, "labels")))
+
+
+def op6_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slot of every document in the mixture of all sources."""
+    return mixing.plan(documents(spark, sf_dir))
+
+
+def op7_topk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best inner products for every hundredth vector."""
+    vectors = documents(spark, sf_dir, "embeddings")
+    return topk.search(vectors, F.col("vec_id") % 100 == 0, scratch(spark, "topk"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_trie, op2_token_shards, op3_merkle_audit, op4_lm_automaton, op5_toxicity, op6_pfair_mix, op7_topk_blocks)}
+
+ORACLES = {
+    "op3_merkle_audit": "SELECT page_id, 'changed' AS kind FROM pages WHERE page_id % 61 = 7",
+    "op7_topk_blocks": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.e, d.e) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id % 100 = 0 AND d.vec_id <> q.vec_id AND len(q.e) = len(d.e)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored
+)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 10""",
+}
