@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_rules, lm, mixing, neardup, shards, topk, toxicity, warc
+from . import bpe, line_rules, lm, mixing, neardup, pii, shards, topk, toxicity, warc
 from .common import documents, scratch
 
 
@@ -59,6 +59,11 @@ def op7_topk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, F.col("vec_id") % 100 == 0, scratch(spark, "topk"))
 
 
+def op8_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: base spans and those that patterns add."""
+    return pii.report(documents(spark, sf_dir))
+
+
 def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every text; lines in many documents of a source are removed."""
     return line_rules.judge(documents(spark, sf_dir))
@@ -71,7 +76,7 @@ def op10_minhash_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_bpe_trie, op2_token_shards, op3_merkle_audit, op4_lm_automaton, op5_toxicity,
-    op6_pfair_mix, op7_topk_blocks, op9_line_frequency, op10_minhash_postings,
+    op6_pfair_mix, op7_topk_blocks, op8_pii_bootstrap, op9_line_frequency, op10_minhash_postings,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
