@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -196,67 +197,69 @@ class ChunkCoder:
     that the blank itself goes with what follows.  Such texts are cut at their
     blanks, each distinct piece is encoded once, and a document's ids are
     gathered from the pieces' ids.  All other texts are encoded as a whole.
+
+    ``encode_flat`` takes pieces and returns all their ids, one after the
+    other, and the number of ids of each piece.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], dtype: str = "<u4"):
-        self.encode_many, self.dtype = encode_many, dtype
+    def __init__(self, encode_flat: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype: str = "<u4"):
+        self.encode_flat, self.dtype = encode_flat, dtype
         self._clear()
 
     def _clear(self) -> None:
+        #: Place of each piece; without its blank, or with a zero before it where it begins a text.
         self.at: dict[str, int] = {}
-        self.chars = 0
+        self.chars = self.used = 0
         self.flat = np.empty(1 << 16, self.dtype)
-        self.used = 0
         self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.odd = np.zeros(1 << 12, bool)
 
     def _learn(self, keys: list[str]) -> None:
-        ids = self.encode_many([k[1:] if k[0] == "\0" else k for k in keys])
-        n, more = len(self.at), sum(map(len, ids))
-        while self.used + more > len(self.flat):
+        ids, sizes = self.encode_flat([k[1:] if k[:1] == "\0" else " " + k for k in keys])
+        n, to = len(self.at), len(self.at) + len(keys)
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while n + len(keys) > len(self.start):
+        while to > len(self.start):
             self.start, self.size, self.odd = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.odd))
-        for i, (key, own) in enumerate(zip(keys, ids), n):
-            self.at[key] = i
-            self.start[i], self.size[i] = self.used, len(own)
-            self.flat[self.used : self.used + len(own)] = own
-            self.used += len(own)
-            self.odd[i] = len(key) < 2 or key[1].isspace()
-            self.chars += len(key)
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[n:to] = self.used + np.cumsum(sizes) - sizes
+        self.size[n:to] = sizes
+        self.odd[n:to] = [not k or k[0].isspace() or k[0] == "\0" and (len(k) < 2 or k[1].isspace() or k[1] == "\0") for k in keys]
+        self.used += len(ids)
+        self.chars += sum(map(len, keys))
+        self.at.update(zip(keys, range(n, to)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.at) > CACHE_WORDS or self.chars > CACHE_CHARS:
             self._clear()
-        parts = []
-        for text in texts:
-            cut = text.split(" ")
-            cut[0] = "\0" + cut[0]  # the first piece has no blank before it
-            parts.append(cut)
-        at, lead = self.at, " ".__add__
-        keyed = [[p[0], *map(lead, p[1:])] for p in parts]
-        fresh = set().union(*keyed) - at.keys()
+        keyed = [text.split(" ") for text in texts]
+        for own in keyed:
+            own[0] = "\0" + own[0]
+        fresh = set().union(*keyed) - self.at.keys()
         self._learn(sorted(fresh)) if fresh else None
-        where = np.fromiter((at[k] for own in keyed for k in own), np.int64, sum(map(len, keyed)))
-        ends = np.cumsum([len(own) for own in keyed])
+        counts = np.fromiter(map(len, keyed), np.int64, len(keyed))
+        where = np.fromiter(map(self.at.__getitem__, chain.from_iterable(keyed)), np.int64, int(counts.sum()))
+        ends = np.cumsum(counts)
         sizes = self.size[where]
         upto = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.flat[np.repeat(self.start[where] - upto[:-1], sizes) + np.arange(upto[-1])]
         odd = np.concatenate([[0], np.cumsum(self.odd[where])])
         out: list = []
         begin = 0
-        for text, end in zip(texts, ends):
-            if odd[end] > odd[begin] and text:
-                out.append(None)
-            else:
-                out.append(ids[upto[begin] : upto[end]])
+        for text, end in zip(texts, ends.tolist()):
+            whole = text and odd[end] > odd[begin] or "\0" in text
+            out.append(None if whole else ids[upto[begin] : upto[end]])
             begin = end
-        whole = [i for i, x in enumerate(out) if x is None]
-        for i, own in zip(whole, self.encode_many([texts[i] for i in whole]) if whole else ()):
-            out[i] = np.array(own, self.dtype)
+        for i in [i for i, x in enumerate(out) if x is None]:
+            out[i] = np.array(self.encode_flat([texts[i]])[0], self.dtype)
         return out
 
 
+def flat_lists(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum())), sizes
+
+
 def text_batches(texts: list[str | None], chars: int = BATCH_CHARS) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) with about ``chars`` characters each; null counts as empty."""
     begin, size, own = 0, 0, []
@@ -322,7 +325,7 @@ def _map_ids(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, column
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = once(hashlib.sha256(shared.value.encode()).hexdigest(), lambda: TrieBPE(shared.value))
         if not hasattr(bpe, "coder"):
-            bpe.coder = ChunkCoder(bpe.encode_many)
+            bpe.coder = ChunkCoder(lambda pieces: flat_lists(bpe.encode_many(pieces)))
         for batch in batches:
             for begin, texts in text_batches(batch.column("text").to_pylist()):
                 ids = bpe.coder.encode(texts)

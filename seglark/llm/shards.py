@@ -36,11 +36,13 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import ChunkCoder, once, text_batches, tokenizer_text
+from .bpe import ChunkCoder, byte_alphabet, flat_lists, once, text_batches, tokenizer_text
 
-MAGIC, FOOTER = b"SGLKSST1", struct.Struct("<6Q2I8s")
+MAGIC, FOOTER = b"SGLKSST1", "<6Q2I8s"
 BLOCK_BYTES, SHARD_BYTES = 64 << 10, 64 << 20
 BITS_PER_KEY, HASHES = 10, 7
+#: Pieces that are encoded in one call.
+JOINED = 2000
 
 
 def key_bytes(doc_id: int | None) -> bytes:
@@ -122,7 +124,7 @@ class ShardWriter:
             bits[_bits(key, m, HASHES)] = True
         index, bloom = zlib.compress(b"".join(self.index), 6), np.packbits(bits).tobytes()
         self.stream.write(index + bloom)
-        self.stream.write(FOOTER.pack(self.offset, len(index), self.offset + len(index), len(bloom), self.entries, self.tokens, self.width, HASHES, MAGIC))
+        self.stream.write(struct.pack(FOOTER, self.offset, len(index), self.offset + len(index), len(bloom), self.entries, self.tokens, self.width, HASHES, MAGIC))
 
 
 class ShardReader:
@@ -132,9 +134,10 @@ class ShardReader:
         self.stream = stream
         stream.seek(0, 2)
         size = stream.tell()
-        if size < FOOTER.size:
+        tail = struct.calcsize(FOOTER)
+        if size < tail:
             raise ValueError("not a shard: too short")
-        self.index_at, self.index_size, self.bloom_at, self.bloom_size, self.entries, self.tokens, self.width, self.hashes, magic = FOOTER.unpack(self._read(size - FOOTER.size, FOOTER.size))
+        self.index_at, self.index_size, self.bloom_at, self.bloom_size, self.entries, self.tokens, self.width, self.hashes, magic = struct.unpack(FOOTER, self._read(size - tail, tail))
         if magic != MAGIC:
             raise ValueError("not a shard: bad magic")
         raw, at = zlib.decompress(self._read(self.index_at, self.index_size)), 0
@@ -196,6 +199,48 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+def library_encoder(library):
+    """Encodes pieces with the tokenizers library, many that begin with a blank in one call.
+
+    Where pieces that begin with a blank stand one after another, the library
+    splits the text at those blanks, so its ids are those of the pieces, one
+    after the other.  Where each piece ends follows from the lengths of the
+    tokens in bytes; pieces for which that doesn't fit are encoded alone.
+    """
+    alphabet = byte_alphabet()
+    vocab = library.get_vocab(with_added_tokens=True)
+    lengths = np.zeros(max(vocab.values()) + 1, np.int64)
+    for token, i in vocab.items():
+        lengths[i] = len(token) if all(c in alphabet for c in token) else len(token.encode())
+
+    def alone(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return flat_lists([e.ids for e in library.encode_batch_fast(pieces, add_special_tokens=False)])
+
+    def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        at = 0
+        while at < len(pieces):
+            end = at
+            while end < len(pieces) and end < at + JOINED and (end == at or pieces[end][:1] == " " and pieces[end][1:2].strip()):
+                end += 1
+            some = pieces[at:end]
+            whole = np.array(library.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, np.int64)
+            bounds = np.cumsum([len(p.encode()) for p in some])
+            ends = np.cumsum(lengths[whole])
+            last = np.searchsorted(ends, bounds) + 1
+            if len(whole) and last[-1] == len(whole) and (ends[last - 1] == bounds).all():
+                ids.append(whole)
+                sizes.append(np.diff(last, prepend=0))
+            else:
+                own = alone(some)
+                ids.append(own[0])
+                sizes.append(own[1])
+            at = end
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    return encode
+
+
 MANIFEST = "part int, seq int, path string, first_id long, last_id long, n_docs long, n_tokens long"
 
 
@@ -226,7 +271,7 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int | None = None,
             library = Tokenizer.from_str(shared.value)
             library.no_truncation()
             library.no_padding()
-            return ChunkCoder(lambda texts: [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]), library.get_vocab_size()
+            return ChunkCoder(library_encoder(library)), library.get_vocab_size()
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         coder, size = once("library" + hashlib.sha256(shared.value.encode()).hexdigest(), make)
