@@ -324,3 +324,20 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, coordina
     result = table.select("doc_id", "n_shingles", "digest").join(ids, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return result.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """All columns of the rows of ``docs`` that :func:`near_duplicates` keeps: one row of each component.
+
+    Where a kept identifier is repeated within its component, one of its rows
+    stays.  Rows without a shingle stay, all of them.
+    """
+    found = cut(near_duplicates(docs, width, percent), "dup-result").filter("kept")
+    ids = found.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("times"), F.max("n_shingles").alias("n"))
+    repeated = ids.filter("times > 1 and n > 0").limit(1).count() > 0
+    own = docs.join(ids.select("kept_id"), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    if not repeated:
+        return own
+    text = F.coalesce(docs["text"], F.lit(""))
+    key = F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(None)).otherwise(F.monotonically_increasing_id())
+    return own.withColumn("_blank", key).dropDuplicates(["doc_id", "_blank"]).drop("_blank")

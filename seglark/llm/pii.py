@@ -102,9 +102,9 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(needs, found).otherwise(F.array().cast(_SPANS))
 
 
-def with_base(docs: DataFrame) -> DataFrame:
+def with_base(docs: DataFrame, *more: Column) -> DataFrame:
     text = F.coalesce(docs["text"], F.lit(""))
-    own = docs.select(docs["doc_id"].alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    own = docs.select(docs["doc_id"].alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"), *more)
     return own.select("*", *[base_spans(F.col("text"), k).alias(k) for k in KINDS])
 
 
@@ -176,9 +176,14 @@ def detect(docs: DataFrame) -> DataFrame:
     Null texts count as empty; repeated rows get the same spans each; an empty
     table gives an empty result; other columns are not read.
     """
+    return _every(with_base(docs), docs)
+
+
+def _every(own: DataFrame, docs: DataFrame) -> DataFrame:
+    """``own`` with ``spans`` in place of what :func:`with_base` adds for them."""
     found = cut(instances(docs), "pii-instances")
-    added = added_spans(found, discover(found)).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "added")
-    own = with_base(docs)
+    # written first: where it is small enough to be broadcast, the texts needn't move for it
+    added = cut(added_spans(found, discover(found)), "pii-added").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "added")
     own = own.join(added, own["doc_id"].eqNullSafe(added["d"]) & (own["text_hash"] == added["t"]), "left").drop("d", "t")
     order = F.array(*[F.lit(k) for k in KINDS])
 
@@ -187,7 +192,7 @@ def detect(docs: DataFrame) -> DataFrame:
 
     none = F.array().cast("array<struct<k:bigint,start:int,end:int>>")
     every = F.sort_array(F.concat(*[ranked(F.col(k), k) for k in KINDS], F.coalesce(ranked(F.col("added")), none)))
-    return own.select("doc_id", "text_hash", "text", *KINDS, every.alias("spans"))
+    return own.withColumn("spans", every).drop("added")
 
 
 def _joined(spans: Column, kind: Column) -> Column:
@@ -220,3 +225,23 @@ def masked(text: Column, spans: Column) -> Column:
 
     return F.when(F.size(spans) == 0, text).otherwise(let(sorted_, write))
 
+
+def mask(docs: DataFrame) -> DataFrame:
+    """``docs`` with all spans masked in ``text``, and ``n_chars`` (if there) set to the new length.
+
+    All rows and columns are kept; null texts stay null.
+    """
+    names = docs.columns
+    row = F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)]).alias("row")
+    own = _every(with_base(docs, row), docs)
+    own = own.select("row", masked(F.col("text"), F.col("spans")).alias("text"))
+    place = names.index("text")
+    types = {c: t for c, t in docs.dtypes}
+    new = F.when(F.col(f"row.c{place}").isNotNull(), F.col("text"))
+
+    def column(i: int, c: str) -> Column:
+        if c == "n_chars":
+            return F.coalesce(F.length(new).cast(types[c]), F.col(f"row.c{i}"))
+        return new if c == "text" else F.col(f"row.c{i}")
+
+    return own.select(*[column(i, c).alias(c) for i, c in enumerate(names)])
