@@ -1,7 +1,60 @@
-"""Placeholder until the stages exist."""
-STAGES: list = []
+"""A corpus pipeline: five stages over ``documents``, each written and read again."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from seglark.llm import bpe, mixing, neardup, pii, toxicity
+from seglark.llm.common import cut, documents
+from seglark.llm.queries import tokenizer_path
+from seglark.session import ship
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learn severity from the labelled rows and drop the documents that it rejects."""
+    ship(spark)
+    return toxicity.keep_clean(docs, toxicity.train(docs, documents(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each component: five-word shingles, similarity 0.8."""
+    ship(spark)
+    return neardup.keep_one(docs, width=5, percent=80)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data in the texts."""
+    ship(spark)
+    return pii.mask(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Put the documents in the order of the mixture; all of them stay."""
+    ship(spark)
+    return mixing.mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the encoded texts."""
+    ship(spark)
+    return bpe.digests(docs, tokenizer_path())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("personal_data", mask_personal_data),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
+
+#: A trained model decides in the first stage: not a matter of SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, one after the other."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
