@@ -8,8 +8,11 @@ Constants that depend on totals come from one-row aggregates.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -191,26 +194,71 @@ def pair_counts(words: DataFrame, config: SegmenterConfig) -> tuple[DataFrame, D
     return pairs, pairs.groupBy(F.substring("pair", 1, 1).alias("first")).agg(F.sum("cnt").alias("cnt"))
 
 
+#: Up to so many symbols, all pair probabilities are sent along as one value (its square in doubles).
+MAX_INVENTORY = 300
+
+
+def pair_probabilities(corpus: DataFrame, config: SegmenterConfig, symbols: DataFrame) -> DataFrame:
+    """``(first, symbol, x)``: log probability of a symbol after another, for all pairs of ``symbols``."""
+    amount, n = float(config.initial_count), symbols.count()
+    types = C.word_types(corpus, config.word_delimiter).select("word", F.lit(1).alias("w"))
+    pairs, firsts = pair_counts(types, config)
+    every = symbols.select(F.col("symbol").alias("first")).crossJoin(F.broadcast(symbols))  # an alphabet with itself
+    every = every.withColumn("pair", F.concat("first", "symbol")).join(pairs.select("pair", F.col("cnt").alias("c")), "pair", "left")
+    every = every.join(firsts.select("first", F.col("cnt").alias("f")), "first", "left")
+    p = (F.coalesce("c", F.lit(0)) + amount) / F.nullif(F.coalesce("f", F.lit(0)) + amount * n * 2, F.lit(0.0))
+    return every.select("first", "symbol", ln(F.coalesce(p, F.lit(0.0))).alias("x"))
+
+
 def piecewise(words: DataFrame, corpus: DataFrame, config: SegmenterConfig) -> DataFrame:
     """``(word, piecewise)``: each symbol's probability after the set of those before it, over all symbols' in its place.
 
-    Distinct (set, symbol) questions are answered once: one row per question,
-    inventory symbol and member of the set.
+    With an ordinary alphabet every word is scored in its row, from one small
+    matrix of pair probabilities; beyond ``MAX_INVENTORY`` symbols the distinct
+    questions (set, symbol) are answered by joins.  Symbols of words that the
+    corpus doesn't have are part of the alphabet.
     """
-    amount = float(config.initial_count)
-    symbols = C.inventory(corpus, config.word_delimiter)
-    n = symbols.count()
-    types = C.word_types(corpus, config.word_delimiter).select("word", F.lit(1).alias("w"))
-    pairs, firsts = pair_counts(types, config)
     d = F.lit("" if config.ignore_word_boundary else config.word_delimiter)
-    steps = words.select("word", F.posexplode(X.preceding_sets(F.concat(d, "word", d))).alias("at", "x")).select("word", "at", "x.symbol", F.array_join("x.before", "\0").alias("before"))
-    sets = steps.select("before").distinct()
-    asked = sets.crossJoin(F.broadcast(symbols)).select("before", "symbol", F.explode(F.split("before", "\0")).alias("first"))  # the inventory is a few dozen symbols
-    asked = asked.withColumn("pair", F.concat("first", "symbol")).join(pairs.select("pair", F.col("cnt").alias("c")), "pair", "left")
-    asked = asked.join(firsts.select("first", F.col("cnt").alias("f")), "first", "left")
-    p = (F.coalesce("c", F.lit(0)) + amount) / F.nullif(F.coalesce("f", F.lit(0)) + amount * n * 2, F.lit(0.0))
-    each = asked.groupBy("before", "symbol").agg(summed(ln(F.coalesce(p, F.lit(0.0)))).alias("x"))
-    total = each.groupBy("before").agg(F.sum(F.when(F.col("x") > NO_SCORE, F.exp("x")).otherwise(0.0)).alias("t"))
+    own = words.select(F.col("word").alias("text"))
+    symbols = C.inventory(corpus.select("text").unionByName(own), config.word_delimiter)
+    table = pair_probabilities(corpus, config, symbols)
+    sets = X.preceding_sets(F.concat(d, "word", d))
+    if symbols.count() > MAX_INVENTORY:
+        return _piecewise_joined(words.select("word", F.posexplode(sets).alias("at", "x")), table, symbols)
+    cells = {(r["first"], r["symbol"]): r["x"] for r in table.collect()}  # at most MAX_INVENTORY squared
+    names = sorted({a for a, _ in cells})
+    at = {c: i for i, c in enumerate(names)}
+    given = np.array([[cells[a, b] for b in names] for a in names]).reshape(len(names), len(names))
+
+    @F.pandas_udf("double")
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def one(word: str) -> float:
+            own, seen, total = [at[c] for c in word], set(), 0.0
+            added = np.zeros(len(names))
+            for k, i in enumerate(own):
+                if k:
+                    top = added.max()
+                    if added[i] <= NO_SCORE:
+                        return NO_SCORE
+                    total += added[i] - top - np.log(np.exp(added - top).sum())
+                if i not in seen:
+                    seen.add(i)
+                    added = np.maximum(added + given[i], NO_SCORE)
+            return total
+
+        for s in parts:
+            yield s.map(one)
+
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = words.repartition(parts, "word")  # few bytes, but much to compute for each
+    return words.select("word", score(F.concat(d, "word", d)).alias("piecewise"))
+
+
+def _piecewise_joined(steps: DataFrame, table: DataFrame, symbols: DataFrame) -> DataFrame:
+    steps = steps.select("word", "at", "x.symbol", F.array_join("x.before", "\0").alias("before"))
+    asked = steps.select("before").distinct().select("before", F.explode(F.split("before", "\0")).alias("first"))
+    each = asked.join(table, "first").groupBy("before", "symbol").agg(summed(F.col("x")).alias("x"))
+    total = each.groupBy("before").agg(F.max("x").alias("top"), F.sum(F.exp("x")).alias("t"))
     value = F.when((F.col("x") > NO_SCORE) & (F.col("t") > 0), F.col("x") - F.ln("t")).otherwise(F.lit(NO_SCORE))
     answered = each.join(total, "before").select("before", "symbol", value.alias("x"))
     return steps.join(answered, ["before", "symbol"]).groupBy("word").agg(summed(F.col("x")).alias("piecewise"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..plans.learner import Segmenter
 from ..session import ship
+from .cues import FrozenModel
 
 #: A model of more than this many bytes is not sent to tasks; score by joins instead.
 MAX_MODEL = 256 << 20
@@ -100,6 +101,23 @@ def n_best(scored: DataFrame, k: int) -> DataFrame:
     return whole.select("utt_id", F.transform(best, lambda p: F.struct((-p["loss"]).alias("score"), p["path"].alias("offsets"))).alias("paths"))
 
 
+def load(model: FrozenModel, max_rows: int = 5_000_000) -> Segmenter:
+    """A frozen model's tables in memory; refused beyond ``max_rows`` words or n-grams."""
+    own = Segmenter(model.config)
+    for table in (model.lexicon, model.ngrams):
+        if table.limit(max_rows + 1).count() > max_rows:
+            raise ValueError("the model is too large to hold: score candidates by joins")
+    own.lexicon.update((r["word"], own.number(r["cnt"])) for r in model.lexicon.toLocalIterator())
+    own.total = own.number(model.n_words)
+    cue = own.phoneme
+    for n in range(1, cue.window + 1):
+        cue.totals[n - 1], cue.initial[n - 1] = own.number(model.totals[n]), own.number(model.initial[n])
+    for r in model.ngrams.toLocalIterator():
+        if r["n"] <= cue.window:
+            cue.counts[r["n"] - 1][r["gram"]] = own.number(r["cnt"])
+    return own
+
+
 def description_length(words) -> int:
     """Words of a text, and the length of its lexicon written with blanks between."""
     return len(words) + len(" ".join(set(words)))

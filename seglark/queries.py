@@ -328,11 +328,11 @@ def conditional_entropy(spark, d):
     return prob.entropy(table, ["cond"]).select("cond", r("entropy").alias("entropy"))
 
 
-@query(f"""WITH {UTT}, {DOC}, t AS (SELECT word AS sample, (count(*) + 1) / (sum(count(*)) OVER () + count(*) OVER () + {BINS_OVER}) AS q FROM doc GROUP BY word)
+@query(f"""WITH {UTT}, {DOC}, t AS (SELECT word AS sample, (count(*) + 1) / (sum(count(*)) OVER () + count(*) OVER () + {BINS_OVER}) AS q FROM (SELECT word FROM doc UNION ALL SELECT word FROM tok) GROUP BY word)
 SELECT round(sum(cnt / n * coalesce(log2(q), -1e300)), 9) AS log_likelihood FROM lex LEFT JOIN t USING (sample), tot""")
 def log_likelihood(spark, d):
-    docs = lexicon(spark, d)
-    return prob.log_likelihood(prob.laplace(docs, docs.count() + BINS_OVER), prob.mle(talk_lexicon(spark, d))).select(r("log_likelihood").alias("log_likelihood"))
+    both = freq_add(spark, d)
+    return prob.log_likelihood(prob.laplace(both, both.count() + BINS_OVER), prob.mle(talk_lexicon(spark, d))).select(r("log_likelihood").alias("log_likelihood"))
 
 
 @query("SELECT p_brand AS cond, round(log2(sum(p_retailprice)), 9) AS sum_logs FROM part GROUP BY 1")
@@ -432,13 +432,10 @@ def piecewise_scores(spark, d):
 @query()
 def viterbi_segmentation(spark, d):
     """All conversation lines without blanks, segmented under a frozen model of them; words of up to 24 symbols."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     corpus = talk(spark, d)
-    config = SegmenterConfig(exact=False, max_word_len=24)
-    model = learner.Segmenter(config, [x["symbol"] for x in C.inventory(corpus).collect()])
-    for row in freq.count(C.word_tokens(corpus), "word").toLocalIterator():
-        model.learn_word(row["sample"], 1)
-        model.lexicon[row["sample"]] += row["cnt"] - 1
-        model.total += row["cnt"] - 1
+    model = search.load(cues.train(corpus, SegmenterConfig(exact=False, max_word_len=24)))
+    corpus = corpus.repartition(n, "utt_id")  # a search costs far more than its text's move
     return search.segment_with(corpus, model).select("utt_id", F.array_join("words", " ").alias("text"))
 
 

@@ -34,7 +34,7 @@ def chart_wide(long: DataFrame, names: list[str]) -> DataFrame:
 
 def read_key(spark: SparkSession, path: str, encoding: str = "UTF-8") -> list[tuple[str, str]]:
     """Ordered replacement rules of a key file (a few lines, read on the driver)."""
-    rows = spark.read.option("wholetext", True).option("encoding", encoding).text(path).collect()
+    rows = spark.read.option("encoding", encoding).text(path, wholetext=True).collect()
     if encoding.upper().replace("-", "") != "UTF8":
         rows = spark.read.format("binaryFile").load(path).select("content").collect()
         text = "".join(bytes(r["content"]).decode(encoding) for r in rows)
