@@ -8,16 +8,17 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
-_SHIPPED = "spark.seglark.shipped"
+#: Applications that have the package already.
+_SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, as ``--py-files`` would."""
     sc = spark.sparkContext
-    if sc.getLocalProperty(_SHIPPED) == sc.applicationId:
+    if sc.applicationId in _SHIPPED:
         return
     here = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="seglark-"), "seglark.zip")
+    path = os.path.join(tempfile.mkdtemp(prefix="seglark-"), f"seglark-{os.getpid()}-{len(_SHIPPED)}.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, names in os.walk(here):
             for name in names:
@@ -25,7 +26,7 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(folder, name)
                     z.write(full, os.path.join("seglark", os.path.relpath(full, here)))
     sc.addPyFile(path)
-    sc.setLocalProperty(_SHIPPED, sc.applicationId)
+    _SHIPPED.add(sc.applicationId)
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
