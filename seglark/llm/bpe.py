@@ -15,6 +15,9 @@ alone and remembered per pair.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import hashlib
 import json
 from collections.abc import Callable, Iterable, Iterator
@@ -22,6 +25,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -30,10 +34,10 @@ from pyspark.sql import types as T
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Below this code point all Unicode versions agree on the classes in WORDS.
 STABLE = "՘"
-#: Words and characters a worker remembers before it starts anew.
-CACHE_WORDS, CACHE_CHARS = 600_000, 12_000_000
-#: Characters of text that are encoded at a time.
-BATCH_CHARS = 4_000_000
+#: Pieces, characters of pieces, and token pairs that a worker remembers before it starts anew.
+CACHE_WORDS, CACHE_CHARS, CACHE_PAIRS = 500_000, 8_000_000, 600_000
+#: Bytes of text that are encoded at a time.
+BATCH_CHARS = 2_000_000
 MAX_FILE = 64 << 20
 
 
@@ -81,11 +85,12 @@ class TrieBPE:
             raise ValueError("a token longer than a byte has no merge")
         self.prefixes = {b[:n] for b in vocab for n in range(1, len(b) + 1)}
         self.can_follow: dict[int, bool] = {}
+        #: Suffix automaton over token beginnings: texts of states, tokens that end each, and steps by byte.
+        self.states, self.state_of, self.ends, self.steps = [b""], {b"": 0}, [()], {}
         self.lengths = [len(b) for b in self.bytes_of]
         self.find = regex.compile(WORDS).findall
         self.split_added = regex.compile("|".join(regex.escape(c) for c in sorted(self.added, key=len, reverse=True))) if self.added else None
-        self.words: dict[str, list[int]] = {}
-        self._library = None
+        self._library = self.coder = None
 
     def _fits(self, a: int, b: int) -> bool:
         """Whether BPE leaves ``a`` and ``b`` as they are when they stand side by side."""
@@ -103,38 +108,54 @@ class TrieBPE:
             x_ends, x = made[x], right[x]
         return True
 
+    def _step(self, state: int, byte: int) -> int:
+        """The state after one more byte: the longest suffix that begins a token; made when first asked for."""
+        text = self.states[state] + bytes((byte,))
+        while text not in self.prefixes:
+            text = text[1:]
+            if not text:
+                raise ValueError("this vocabulary has no token for a byte")
+        after = self.state_of.get(text)
+        if after is None:
+            after = self.state_of[text] = len(self.states)
+            self.states.append(text)
+            ends = (self.vocab.get(text[i:]) for i in range(len(text)))
+            self.ends.append(tuple((self.lengths[t], t) for t in ends if t is not None))
+        self.steps[state << 8 | byte] = after
+        return after
+
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
-        """Ids of distinct words, by one depth-first walk over their trie."""
-        vocab, prefixes, known, shift, lengths = self.vocab, self.prefixes, self.can_follow, self.shift, self.lengths
-        if len(known) > 2_000_000:
+        """Ids of distinct words, by one depth-first walk over their trie.
+
+        The walk keeps, for every prefix of the current word, its last token
+        and which tokens may end there: those that end the longest suffix that
+        begins a token, longest first.
+        """
+        known, shift, lengths, steps, ends = self.can_follow, self.shift, self.lengths, self.steps, self.ends
+        if len(known) > CACHE_PAIRS:
             known.clear()
-        last, reach, before, out = [-1], [0], b"", {}
+        last, state, before, out = [-1], [0], b"", {}
         for raw, word in sorted((w.encode(), w) for w in words):
-            n, at, most = len(raw), 0, min(len(raw), len(before))
+            at, most = 0, min(len(raw), len(before))
             while at < most and raw[at] == before[at]:
                 at += 1
-            del last[at + 1 :], reach[at + 1 :]
-            for end in range(at + 1, n + 1):
-                k = reach[end - 1] + 1  # length of the longest suffix that begins a token
-                while k > 1 and raw[end - k : end] not in prefixes:
-                    k -= 1
-                reach.append(k)
-                for start in range(end - k, end):
-                    token = vocab.get(raw[start:end])
-                    if token is None:
-                        continue
-                    if start == 0:
+            del last[at + 1 :], state[at + 1 :]
+            now = state[at]
+            for end, byte in enumerate(raw[at:], at + 1):
+                after = steps.get(now << 8 | byte)
+                now = self._step(now, byte) if after is None else after
+                state.append(now)
+                for size, token in ends[now]:
+                    if size == end:
                         break
-                    pair = last[start] << shift | token
+                    pair = last[end - size] << shift | token
                     ok = known.get(pair)
                     if ok is None:
-                        ok = known[pair] = self._fits(last[start], token)
+                        ok = known[pair] = self._fits(last[end - size], token)
                     if ok:
                         break
-                else:
-                    raise ValueError("this vocabulary has no token for a byte")
                 last.append(token)
-            ids, end = [], n
+            ids, end = [], len(raw)
             while end:
                 ids.append(last[end])
                 end -= lengths[last[end]]
@@ -166,19 +187,19 @@ class TrieBPE:
             parts += self._pretokens(piece[at:]) if at else self._pretokens(piece)
             parsed.append(parts)
             missing.update(p for p in parts if isinstance(p, str))
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        words = self.words
-        fresh = self.encode_words(missing - words.keys())
+        fresh = self.encode_words(missing)
         out = []
         for parts in parsed:
             ids: list[int] = []
             for p in parts:
-                ids += (p,) if isinstance(p, int) else (words.get(p) or fresh[p])
+                ids += (p,) if isinstance(p, int) else fresh[p]
             out.append(ids)
-        words.update((w, i) for w, i in fresh.items() if len(w) <= 64)
         return out
 
+    def forget(self) -> None:
+        if self.coder:
+            self.coder.forget()
+
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD, unknown ids nothing."""
         table = self.bytes_of
@@ -202,11 +223,11 @@ class ChunkCoder:
     other, and the number of ids of each piece.
     """
 
-    def __init__(self, encode_flat: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype: str = "<u4"):
-        self.encode_flat, self.dtype = encode_flat, dtype
-        self._clear()
+    def __init__(self, encode_flat: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype: str = "<u4", cache_words: int = CACHE_WORDS):
+        self.encode_flat, self.dtype, self.most = encode_flat, dtype, cache_words
+        self.forget()
 
-    def _clear(self) -> None:
+    def forget(self) -> None:
         #: Place of each piece; without its blank, or with a zero before it where it begins a text.
         self.at: dict[str, int] = {}
         self.chars = self.used = 0
@@ -230,13 +251,13 @@ class ChunkCoder:
         self.at.update(zip(keys, range(n, to)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.at) > CACHE_WORDS or self.chars > CACHE_CHARS:
-            self._clear()
+        if len(self.at) > self.most or self.chars > CACHE_CHARS * self.most / CACHE_WORDS:
+            self.forget()
         keyed = [text.split(" ") for text in texts]
         for own in keyed:
             own[0] = "\0" + own[0]
         fresh = set().union(*keyed) - self.at.keys()
-        self._learn(sorted(fresh)) if fresh else None
+        self._learn(list(fresh)) if fresh else None
         counts = np.fromiter(map(len, keyed), np.int64, len(keyed))
         where = np.fromiter(map(self.at.__getitem__, chain.from_iterable(keyed)), np.int64, int(counts.sum()))
         ends = np.cumsum(counts)
@@ -260,17 +281,35 @@ def flat_lists(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum())), sizes
 
 
-def text_batches(texts: list[str | None], chars: int = BATCH_CHARS) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) with about ``chars`` characters each; null counts as empty."""
-    begin, size, own = 0, 0, []
-    for i, t in enumerate(texts):
-        own.append(t or "")
-        size += len(own[-1])
-        if size >= chars:
-            yield begin, own
-            begin, size, own = i + 1, 0, []
-    if own:
-        yield begin, own
+def text_batches(texts: pa.Array, chars: int = BATCH_CHARS) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) with about ``chars`` bytes each; null counts as empty."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < len(texts):
+        before = upto[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(upto, before + chars)))
+        yield begin, [t or "" for t in texts.slice(begin, end - begin).to_pylist()]
+        begin = end
+
+
+def tidy(run: Callable, keep: bool = False) -> Callable:
+    """``run`` for ``mapInArrow``; afterwards the worker, which stays for later tasks, gives its memory back.
+
+    With ``keep`` it remembers its encodings for the next task.
+    """
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            for made in () if keep else _LOADED.values():
+                getattr(made, "forget", lambda: None)()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
 
 
 _LOADED: dict[str, object] = {}
@@ -324,16 +363,16 @@ def _map_ids(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, column
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = once(hashlib.sha256(shared.value.encode()).hexdigest(), lambda: TrieBPE(shared.value))
-        if not hasattr(bpe, "coder"):
+        if bpe.coder is None:
             bpe.coder = ChunkCoder(lambda pieces: flat_lists(bpe.encode_many(pieces)))
         for batch in batches:
-            for begin, texts in text_batches(batch.column("text").to_pylist()):
+            for begin, texts in text_batches(batch.column("text")):
                 ids = bpe.coder.encode(texts)
                 rows = [(len(i), *make(bpe, i)) for i in ids]
                 made = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, len(texts)), *made], names=schema.names)
 
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(tidy(run), schema)
 
 
 def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -349,4 +388,4 @@ def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col:
             texts = [None if b is None else bpe.decode(np.frombuffer(b, "<u4").tolist()) for b in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=schema.names)
 
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(tidy(run), schema)

@@ -157,7 +157,7 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         local, ids, sizes, parts, held_tokens = fresh()
         for batch in batches:
             ids_of = batch.column("doc_id").to_pylist()
-            for begin, texts in text_batches(batch.column("text").to_pylist()):
+            for begin, texts in text_batches(batch.column("text")):
                 for doc_id, text in zip(ids_of[begin:], texts):
                     own_words = text.encode().lower().split()
                     own_words.append(END)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import text_batches
+from .bpe import text_batches, tidy
 from .common import cut
 from .components import components
 from .lm import extend
@@ -40,7 +40,7 @@ from .lm import extend
 COORDINATES = 32
 #: Classes of a block of a posting list, and classes and characters of a block of a group.
 LIST_BLOCK, GROUP_BLOCK, GROUP_CHARS = 1024, 1024, 8_000_000
-MAX_WORDS = 500_000
+MAX_WORDS = 300_000
 
 
 def matches_for(percent: int, coordinates: int = COORDINATES) -> int:
@@ -121,7 +121,7 @@ def features(docs: DataFrame, width: int, coordinates: int = COORDINATES) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in batches:
-            for begin, texts in text_batches(batch.column("text").to_pylist()):
+            for begin, texts in text_batches(batch.column("text")):
                 sets = shingler.sets(texts)
                 full = [k for k, s in enumerate(sets) if len(s)]
                 sig: list = [None] * len(sets)
@@ -137,7 +137,7 @@ def features(docs: DataFrame, width: int, coordinates: int = COORDINATES) -> Dat
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n_shingles", "digest", "n_chars", "sig"])
 
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(tidy(run), schema)
 
 
 def spanning(n: int, agrees: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
@@ -236,7 +236,7 @@ def candidate_links(reps: DataFrame, coordinates: int, matches: int, list_block:
                 out += [(node[begin + i], node[begin + j]) for i, j in spanning(size, lambda i, left: (own[left] == own[i]).sum(1) >= matches)]
             yield _links(out)
 
-    return rows.mapInArrow(run, LINKS).distinct()
+    return rows.mapInArrow(tidy(run), LINKS).distinct()
 
 
 def similar(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -275,6 +275,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, coordina
     component has one.  An empty table gives an empty result; other columns
     are not read.
     """
+    return _labelled(docs, width, percent, coordinates, matches, list_block, group_block, group_chars).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _labelled(docs: DataFrame, width: int, percent: int, coordinates: int = COORDINATES, matches: int | None = None, list_block: int = LIST_BLOCK, group_block: int = GROUP_BLOCK, group_chars: int = GROUP_CHARS) -> DataFrame:
+    """:func:`near_duplicates` with ``text_hash`` and ``component``, which tells components apart that share an identifier."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     matches = matches or matches_for(percent, coordinates)
@@ -306,7 +311,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, coordina
             for begin, end in zip(at[:-1].tolist(), at[1:].tolist()):
                 part = table.slice(begin, end - begin)
                 own = {}
-                for _, texts_ in text_batches(part.column("text").to_pylist()):
+                for _, texts_ in text_batches(part.column("text").combine_chunks()):
                     for s in shingler.sets(texts_):
                         own[len(own)] = s
                 nodes, digests = part.column("node").to_pylist(), part.column("digest").to_pylist()
@@ -317,27 +322,32 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, coordina
                     out += [(names[i], names[j]) for i, j in similar(list(seen.values()), percent)]
             yield _links(out)
 
-    found = components(rows.mapInArrow(run, LINKS))
+    found = components(rows.mapInArrow(tidy(run), LINKS))
     ids = reps.select("node", "digest", "first_id").join(found, "node", "left")
     least = ids.filter("root is not null").groupBy("root").agg(F.min("first_id").alias("least"))
-    ids = ids.join(least, "root", "left").select("digest", F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("least")).alias("component"))
-    result = table.select("doc_id", "n_shingles", "digest").join(ids, "digest", "left")
-    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return result.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    alone = F.col("root").isNull()
+    ids = ids.join(least, "root", "left").select("digest", F.coalesce("root", "node").alias("component"), F.when(alone, F.col("first_id")).otherwise(F.col("least")).alias("label"))
+    result = table.select("doc_id", "text_hash", "n_shingles", "digest").join(ids, "digest", "left")
+    label = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("label"))
+    return result.select("doc_id", "text_hash", "n_shingles", label.alias("component_id"), F.col("doc_id").eqNullSafe(label).alias("kept"), "component")
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """All columns of the rows of ``docs`` that :func:`near_duplicates` keeps: one row of each component.
+    """All columns of ``docs``, one row of each component: one of those that :func:`near_duplicates` keeps.
 
-    Where a kept identifier is repeated within its component, one of its rows
-    stays.  Rows without a shingle stay, all of them.
+    Rows without a shingle stay, all of them.
     """
-    found = cut(near_duplicates(docs, width, percent), "dup-result").filter("kept")
-    ids = found.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("times"), F.max("n_shingles").alias("n"))
-    repeated = ids.filter("times > 1 and n > 0").limit(1).count() > 0
-    own = docs.join(ids.select("kept_id"), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    found = cut(_labelled(docs, width, percent), "dup-result").filter("kept")
+    blank = found.filter("component is null").select("doc_id", "text_hash")
+    picked = found.filter("component is not null").groupBy("component").agg(F.min(F.struct("text_hash", "doc_id")).alias("p"), F.count("*").alias("times"))
+    repeated = picked.filter("times > 1").limit(1).count() > 0
+    ids = picked.select("p.doc_id", "p.text_hash").unionByName(blank).select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
+    same = docs["doc_id"].cast("long").eqNullSafe(ids["kept_id"]) & (F.xxhash64(docs["text"]) == ids["kept_hash"])
+    own = docs.join(ids, same, "left_semi")
     if not repeated:
         return own
+    # equal rows of one identifier: one stays, except of those without a shingle
     text = F.coalesce(docs["text"], F.lit(""))
-    key = F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(None)).otherwise(F.monotonically_increasing_id())
-    return own.withColumn("_blank", key).dropDuplicates(["doc_id", "_blank"]).drop("_blank")
+    mark = "_blank" + "_" * max(map(len, docs.columns))  # no column has this name
+    key = F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(text)).otherwise(F.monotonically_increasing_id())
+    return own.withColumn(mark, key).dropDuplicates(["doc_id", mark]).drop(mark)

@@ -2,8 +2,8 @@
 
 Grades are ordered (0 clean, 1 toxic, 2 severely toxic).  One weight vector is
 shared by all thresholds: P(grade > k) = sigmoid(w . x - theta_k) with
-theta_0 < theta_1.  Features are sparse: for each selected term its presence
-and its density.  The output is the expected severity, the sum over k of
+theta_0 < theta_1.  Features are sparse: for each selected term (a word or the
+beginning of one) its presence and its density.  The output is the expected severity, the sum over k of
 P(grade > k).
 
 The labels say toxic or not; the grade of a toxic training text is 2 where its
@@ -14,6 +14,7 @@ hash of ``doc_id``; scoring reads every row.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import text_batches
+from .bpe import text_batches, tidy
 
 MAX_TRAIN, MAX_TERMS, MIN_DOCS, CHI2 = 20_000, 256, 4, 15.0
 THRESHOLD = 0.5
@@ -31,10 +32,19 @@ THRESHOLD = 0.5
 _BREAKS = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
 
 
-def terms_of(text: str | None) -> list[bytes]:
+#: Word beginnings, in bytes, that are terms of their own: they stand for words not seen in training.
+BEGINNINGS = (5, 7)
+
+
+def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().translate(_BREAKS).split()
 
 
+def terms_of(words: list[bytes]) -> list[bytes]:
+    """The words, and the beginnings of longer ones with a mark in front."""
+    return words + [b"^" + w[:k] for k in BEGINNINGS for w in words if len(w) > k]
+
+
 @dataclass
 class OrdinalModel:
     """``weights``: presence of each term, then density of each term."""
@@ -53,24 +63,29 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(margins[:, None] - self.thetas[None, :], -500, 500)))
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, l2: float = 1e-4, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds that maximise the penalised likelihood (Adam, full batch)."""
-    n, d = x.shape
+def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, l2: float = 1e-4, steps: int = 400, rate: float = 0.1, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ordered thresholds that maximise the penalised likelihood (Adam, full batch).
+
+    ``times``: how often each row counts.
+    """
+    times = np.ones(len(x)) if times is None else times
+    d, n = x.shape[1], times.sum()
     w, gaps = np.zeros(d), np.zeros(grades - 1)
     moments = [np.zeros(d + grades - 1), np.zeros(d + grades - 1)]
     for step in range(1, steps + 1):
         thetas = gaps[0] + np.concatenate([[0], np.cumsum(np.log1p(np.exp(gaps[1:])))])
         p = 1 / (1 + np.exp(-np.clip((x @ w)[:, None] - thetas, -40, 40)))
-        upper = np.concatenate([np.ones((n, 1)), p], 1)[np.arange(n), y]
-        lower = np.concatenate([p, np.zeros((n, 1))], 1)[np.arange(n), y]
+        rows = np.arange(len(x))
+        upper = np.concatenate([np.ones((len(x), 1)), p], 1)[rows, y]
+        lower = np.concatenate([p, np.zeros((len(x), 1))], 1)[rows, y]
         like = np.maximum(upper - lower, 1e-12)
         # derivative of the log-likelihood by the margin of each threshold
         slope = p * (1 - p)
         g = np.zeros_like(p)
-        rows = np.arange(n)
         g[rows[y > 0], y[y > 0] - 1] += slope[rows[y > 0], y[y > 0] - 1] / like[y > 0]
         most = y < grades - 1
         g[rows[most], y[most]] -= slope[rows[most], y[most]] / like[most]
+        g *= times[:, None]
         by_theta = -g.sum(0) / n
         by_gap = np.concatenate([[by_theta.sum()], [by_theta[k:].sum() / (1 + np.exp(-gaps[k])) for k in range(1, grades - 1)]])
         grad = -np.concatenate([x.T @ g.sum(1) / n - l2 * w, by_gap])
@@ -98,16 +113,14 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_te
         for batch in batches:
             rows = []
             for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
-                found = terms_of(text)
-                counts: dict[bytes, int] = {}
-                for t in found:
-                    counts[t] = counts.get(t, 0) + 1
-                rows.append((toxic, len(found), list(counts), list(counts.values())))
+                words = words_of(text)
+                counts = Counter(terms_of(words))
+                rows.append((toxic, len(words), list(counts), list(counts.values())))
             types = [pa.int32(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], names=["doc_id", "toxic", "n", "terms", "counts"])
 
     schema = T.StructType([sample.schema["doc_id"], *(T.StructField(n, t) for n, t in (("toxic", T.IntegerType()), ("n", T.LongType()), ("terms", T.ArrayType(T.BinaryType())), ("counts", T.ArrayType(T.LongType()))))])
-    counted = sample.mapInArrow(count, schema).persist()
+    counted = sample.mapInArrow(tidy(count), schema).persist()
     try:
         n_all, n_bad = counted.agg(F.count("*"), F.sum("toxic")).first()
         if not n_bad or n_bad == n_all:
@@ -132,7 +145,12 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_te
         x[k, where] = values
         y[k], density[k] = min(1, max(0, r["toxic"])), sum(found.values()) / max(1, r["n"])
     y[(y == 1) & (density > np.median(density[y == 1]))] = 2
-    model.weights, model.thetas = fit_ordinal(x, y, 3)
+    # most texts have none of the terms: equal rows without features are one row that counts as often
+    some = x.any(1)
+    plain = np.bincount(y[~some], minlength=3)
+    x = np.concatenate([x[some], np.zeros((3, x.shape[1]), np.float32)]).astype(np.float64)
+    times = np.concatenate([np.ones(some.sum()), plain])
+    model.weights, model.thetas = fit_ordinal(x, np.concatenate([y[some], [0, 1, 2]]), 3, times=times)
     return model
 
 
@@ -151,24 +169,21 @@ def score(docs: DataFrame, model: OrdinalModel, threshold: float = THRESHOLD) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = {t: i for i, t in enumerate(model.terms)}
         for batch in batches:
-            for begin, texts in text_batches(batch.column("text").to_pylist()):
+            for begin, texts in text_batches(batch.column("text")):
                 p = model.above(np.array([_margin(model, at, t) for t in texts]))
                 grade = (p >= threshold).sum(1).astype(np.int32)
                 columns = [p[:, 0], p[:, 1], p.sum(1), grade, grade > 0]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, len(texts)), *map(pa.array, columns)], names=schema.names)
 
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(tidy(run), schema)
 
 
 def _margin(model: OrdinalModel, at: dict[bytes, int], text: str) -> float:
-    terms = terms_of(text)
-    found: dict[int, int] = {}
-    for t in terms:
-        if t in at:
-            found[at[t]] = found.get(at[t], 0) + 1
-    if not found:
+    words = words_of(text)
+    hits = [t for t in terms_of(words) if t in at]
+    if not hits:
         return 0.0
-    where, values = model.features(found, len(terms))
+    where, values = model.features({at[t]: n for t, n in Counter(hits).items()}, len(words))
     return float(model.weights[where] @ np.array(values))
 
 
@@ -177,14 +192,14 @@ def keep_clean(docs: DataFrame, model: OrdinalModel, threshold: float = THRESHOL
     if docs.columns.count("text") != 1:
         raise ValueError("docs needs exactly one column named text")
     at = {t: i for i, t in enumerate(model.terms)}
-    return docs.mapInArrow(_kept(model, at, docs.columns.index("text"), threshold), docs.schema)
+    return docs.mapInArrow(tidy(_kept(model, at, docs.columns.index("text"), threshold)), docs.schema)
 
 
 def _kept(model: OrdinalModel, at: dict[bytes, int], place: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                margins = np.array([_margin(model, at, t) for t in batch.column(place).to_pylist()])
-                yield batch.filter(pa.array(model.above(margins)[:, 0] < threshold))
+            for begin, texts in text_batches(batch.column(place)):
+                margins = np.array([_margin(model, at, t) for t in texts])
+                yield batch.slice(begin, len(texts)).filter(pa.array(model.above(margins)[:, 0] < threshold))
 
     return run
