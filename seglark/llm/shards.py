@@ -11,9 +11,9 @@ the block by binary search and decodes that block alone.
 Layout: ``blocks | index | filter | footer``; integers are little-endian,
 ``varint`` is 7 bits a byte, low bits first.
 
-* block (zlib): for each entry varint shared, varint rest, varint bytes of
+* block (zstd): for each entry varint shared, varint rest, varint bytes of
   value, rest of the key, value
-* index (zlib): for each block varint key size, first key, varint offset,
+* index (zstd): for each block varint key size, first key, varint offset,
   varint stored size, varint entries, varint tokens
 * footer: six unsigned 64-bit integers (index offset and size, filter offset
   and size, entries, tokens), id width and number of hash functions as
@@ -33,16 +33,19 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import ChunkCoder, byte_alphabet, flat_lists, once, text_batches, tokenizer_text
+from .bpe import ChunkCoder, byte_alphabet, flat_lists, once, text_batches, tidy, tokenizer_text
 
 MAGIC, FOOTER = b"SGLKSST1", "<6Q2I8s"
 BLOCK_BYTES, SHARD_BYTES = 64 << 10, 64 << 20
 BITS_PER_KEY, HASHES = 10, 7
 #: Pieces that are encoded in one call.
 JOINED = 2000
+#: Pieces that a worker remembers.
+CACHE_PIECES = 1_200_000
 
 
 def key_bytes(doc_id: int | None) -> bytes:
@@ -84,6 +87,7 @@ class ShardWriter:
 
     def __init__(self, stream, width: int):
         self.stream, self.width = stream, width
+        self.pack = zstandard.ZstdCompressor(level=1).compress
         self.offset = self.entries = self.tokens = 0
         self.index: list[bytes] = []
         self.keys: list[bytes] = []
@@ -107,7 +111,7 @@ class ShardWriter:
             self._flush()
 
     def _flush(self) -> None:
-        stored = zlib.compress(bytes(self.block), 1)
+        stored = self.pack(bytes(self.block))
         self.stream.write(stored)
         self.index.append(_varint(len(self.first)) + self.first + b"".join(map(_varint, (self.offset, len(stored), self.count, self.in_block))))
         self.offset += len(stored)
@@ -122,7 +126,7 @@ class ShardWriter:
         bits = np.zeros(m, bool)
         for key in self.keys:
             bits[_bits(key, m, HASHES)] = True
-        index, bloom = zlib.compress(b"".join(self.index), 6), np.packbits(bits).tobytes()
+        index, bloom = self.pack(b"".join(self.index)), np.packbits(bits).tobytes()
         self.stream.write(index + bloom)
         self.stream.write(struct.pack(FOOTER, self.offset, len(index), self.offset + len(index), len(bloom), self.entries, self.tokens, self.width, HASHES, MAGIC))
 
@@ -140,7 +144,8 @@ class ShardReader:
         self.index_at, self.index_size, self.bloom_at, self.bloom_size, self.entries, self.tokens, self.width, self.hashes, magic = struct.unpack(FOOTER, self._read(size - tail, tail))
         if magic != MAGIC:
             raise ValueError("not a shard: bad magic")
-        raw, at = zlib.decompress(self._read(self.index_at, self.index_size)), 0
+        self.unpack = zstandard.ZstdDecompressor().decompress
+        raw, at = self.unpack(self._read(self.index_at, self.index_size)), 0
         self.firsts: list[bytes] = []
         self.blocks: list[tuple[int, int, int, int]] = []
         while at < len(raw):
@@ -160,7 +165,7 @@ class ShardReader:
 
     def block(self, k: int) -> list[tuple[bytes, np.ndarray]]:
         offset, size, count, _ = self.blocks[k]
-        raw, at, key, out = zlib.decompress(self._read(offset, size)), 0, b"", []
+        raw, at, key, out = self.unpack(self._read(offset, size)), 0, b"", []
         for _ in range(count):
             shared, at = _read_varint(raw, at)
             rest, at = _read_varint(raw, at)
@@ -271,11 +276,13 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int | None = None,
             library = Tokenizer.from_str(shared.value)
             library.no_truncation()
             library.no_padding()
-            return ChunkCoder(library_encoder(library)), library.get_vocab_size()
+            coder = ChunkCoder(library_encoder(library), cache_words=CACHE_PIECES)
+            coder.vocabulary = library.get_vocab_size()
+            return coder
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder, size = once("library" + hashlib.sha256(shared.value.encode()).hexdigest(), make)
-        width = 2 if max(size, (end_id or 0) + 1) <= 1 << 16 else 4
+        coder = once("library" + hashlib.sha256(shared.value.encode()).hexdigest(), make)
+        width = 2 if max(coder.vocabulary, (end_id or 0) + 1) <= 1 << 16 else 4
         fs, root = filesystem(out)
         fs.create_dir(root, recursive=True)
         part, rows, open_ = TaskContext.get().partitionId(), [], None
@@ -291,7 +298,7 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int | None = None,
 
         for batch in batches:
             ids_of = batch.column("doc_id").to_pylist()
-            for begin, texts in text_batches(batch.column("text").to_pylist()):
+            for begin, texts in text_batches(batch.column("text")):
                 for doc_id, ids in zip(ids_of[begin:], coder.encode(texts)):
                     if open_ and open_[0].offset >= SHARD_BYTES:
                         finish()
@@ -308,7 +315,7 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int | None = None,
         names = [c.split(" ")[0] for c in MANIFEST.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
-    made = ranged.mapInArrow(run, MANIFEST)
+    made = ranged.mapInArrow(tidy(run, keep=True), MANIFEST)
     made.write.mode("overwrite").parquet(f"{out}/manifest")
     return manifest(spark, out)
 
