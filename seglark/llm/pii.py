@@ -209,9 +209,9 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with each span, or run of overlapping spans, replaced by ``[KIND]`` of its first."""
+    """The text with each span, or run of overlapping spans, replaced by ``[KIND]`` of its first (of equals the longest)."""
     order = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    sorted_ = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["k"].alias("k"))))
+    sorted_ = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["k"].alias("k"))))
 
     def write(s: Column) -> Column:
         start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
@@ -219,7 +219,7 @@ def masked(text: Column, spans: Column) -> Column:
         def step(a: Column, x: Column) -> Column:
             before = F.substring(text, a["at"] + 1, x["start"] - a["at"])
             out = F.when(x["start"] >= a["at"], F.concat(a["out"], F.array(before, F.element_at(order, x["k"].cast("int"))))).otherwise(a["out"])
-            return F.struct(out.alias("out"), F.greatest(a["at"], x["end"]).alias("at"))
+            return F.struct(out.alias("out"), F.greatest(a["at"], -x["end"]).alias("at"))
 
         return F.aggregate(s, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
 
