@@ -27,6 +27,8 @@ def backed_off(config: SegmenterConfig, vowel: Column | None = None) -> Column:
     if config.require_syllabic:
         has = vowel if vowel is not None else X.has_vowel(F.col("word"), config.vowels)
         rest = F.when(has, rest).otherwise(F.lit(NO_SCORE))
+    if config.witten_bell:
+        rest = both(rest, F.col("familiar"))
     return rest if config.no_lexicon else F.when(F.col("known"), F.col("familiar")).otherwise(rest)
 
 

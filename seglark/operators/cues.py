@@ -103,17 +103,21 @@ def familiar(words: DataFrame, model: FrozenModel, subseqs: DataFrame | None = N
     """``(word, known, familiar)``: the score of words in the lexicon, ``NO_SCORE`` for others."""
     config, c = model.config, F.col("cnt").cast("double")
     out = words.join(model.lexicon, "word", "left")
-    if config.mbdp:
+    if config.mbdp and not config.witten_bell:
         value = (c + 1) / (model.n_words + 1) * F.pow(c / (c + 1), 2)
-    elif config.subseq_denominator:
+    elif config.subseq_denominator and not config.witten_bell:
         if subseqs is None:
             raise ValueError("subsequence counts are needed")
         out = out.join(subseqs.select(F.col("gram").alias("word"), "subs"), "word", "left")
         value = c / F.col("subs")
+    elif config.witten_bell:
+        value = c / (model.n_words + model.n_types)
     else:
         value = c / (model.n_words + (model.n_types - 1 if config.type_denominator else 0))
     known = F.col("cnt").isNotNull()
-    return out.select("word", known.alias("known"), F.when(known, ln(value)).otherwise(F.lit(NO_SCORE)).alias("familiar"))
+    # with Witten-Bell, what all unknown words share
+    other = ln(F.lit((model.n_types - 1) / max(1, model.n_words + model.n_types - 1))) if config.witten_bell else F.lit(NO_SCORE)
+    return out.select("word", known.alias("known"), F.when(known, ln(value)).otherwise(other).alias("familiar"))
 
 
 def phoneme(words: DataFrame, model: FrozenModel, subseqs: DataFrame | None = None) -> DataFrame:

@@ -202,6 +202,34 @@ def description_length(spark, d):
     return talk(spark, d).select("utt_id", search.objective(X.words(F.col("text"))).cast("long").alias("cost"))
 
 
+@query(f"""WITH {UTT} SELECT word, i - 1 AS at, substr(w, i, 1) AS symbol, (SELECT string_agg(s, '' ORDER BY s) FROM (SELECT DISTINCT unnest(string_split(substr(w, 1, i - 1), '')) AS s) WHERE s <> '') AS before
+FROM (SELECT word, ' ' || word || ' ' AS w FROM typ), unnest(range(2, length(w) + 1)) AS t(i)""")
+def preceding_sets(spark, d):
+    sets = C.word_types(talk(spark, d)).select("word", F.posexplode(X.preceding_sets(F.concat(F.lit(" "), "word", F.lit(" ")))).alias("at", "x"))
+    return sets.select("word", (F.col("at") + 1).cast("long").alias("at"), "x.symbol", F.array_join("x.before", "").alias("before"))
+
+
+@query(f"""WITH {UTT}, u AS (SELECT utt_id, replace(text, ' ', '') AS t FROM utt)
+SELECT substr(t, s + 1, n) AS gram, count(*) AS subs FROM u, unnest(range(0, length(t))) AS a(s), (SELECT unnest(range(1, 9)) AS n) WHERE s + n <= length(t) GROUP BY 1""")
+def subsequence_counts(spark, d):
+    return cues.subsequence_counts(talk(spark, d), max_len=8)
+
+
+@query(f"""WITH {UTT}, u AS (SELECT utt_id, replace(text, ' ', '') AS t FROM utt)
+SELECT utt_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(length(substr(t, s + 1, n))) AS BIGINT) AS symbols FROM u, unnest(range(0, length(t))) AS a(s), (SELECT unnest(range(1, 9)) AS n) WHERE s + n <= length(t) GROUP BY 1""")
+def candidate_words(spark, d):
+    found = search.candidates(talk(spark, d), max_word_len=8)
+    return found.groupBy("utt_id").agg(F.count("*").alias("n"), F.sum(F.length("word")).alias("symbols"))
+
+
+@query(f"WITH {UTT} SELECT utt_id, string_agg(word, '|' ORDER BY pos) AS words FROM tok GROUP BY utt_id")
+def words_from_bits(spark, d):
+    """Back from bits to words: the last place is the end of the text."""
+    bits = F.array_join(X.to_bits(F.col("text")).cast("array<string>"), "")
+    cut = talk(spark, d).select("utt_id", X.strip_delimiters(F.col("text")).alias("t"), bits.alias("b"))
+    return cut.select("utt_id", F.array_join(X.words_from_bits(F.col("t"), F.substring("b", F.lit(1), F.length("b") - 1)), "|").alias("words"))
+
+
 # feature charts
 
 
@@ -349,6 +377,46 @@ def kneser_ney(spark, d):
     return prob.kneser_ney(freq.count(pairs, "w2", by=["cond"])).select("cond", "sample", r("prob", 12).alias("prob"))
 
 
+@query("SELECT DISTINCT p_brand AS sample, round(1.0::DOUBLE / (SELECT count(DISTINCT p_brand) FROM part), 12) AS prob FROM part")
+def uniform(spark, d):
+    own = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_brand").alias("sample"))
+    return prob.uniform(own).select("sample", r("prob", 12).alias("prob"))
+
+
+_WEIGHTS = "w AS (SELECT p_brand AS sample, sum(p_retailprice) AS x FROM part GROUP BY 1)"
+
+
+@query(f"WITH {_WEIGHTS} SELECT sample, round(x / sum(x) OVER (), 12) AS prob FROM w")
+def dictionary_normalised(spark, d):
+    own = spark.read.parquet(f"{d}/part.parquet").groupBy(F.col("p_brand").alias("sample")).agg(F.log2(F.sum("p_retailprice")).alias("prob"))
+    return prob.dictionary(own, log=True, normalise=True).select("sample", r("prob", 12).alias("prob"))
+
+
+@query(f"WITH {_WEIGHTS} SELECT sample, round(CASE WHEN sample LIKE '%1' THEN 0.5 ELSE x / sum(x) OVER () END, 12) AS prob FROM w")
+def overridden(spark, d):
+    own = spark.read.parquet(f"{d}/part.parquet").groupBy(F.col("p_brand").alias("sample")).agg(F.sum("p_retailprice").alias("prob"))
+    changes = own.filter("sample LIKE '%1'").select("sample", F.lit(-1.0).alias("prob"))
+    return prob.override(prob.dictionary(own, normalise=True), changes, log=True).select("sample", r("prob", 12).alias("prob"))
+
+
+@query("SELECT s_nationkey AS cond, count(*) AS n, count(DISTINCT s_name) AS b FROM supplier GROUP BY 1")
+def conditional_totals(spark, d):
+    own = spark.read.parquet(f"{d}/supplier.parquet").withColumnRenamed("s_nationkey", "cond")
+    return freq.totals(freq.count(own, "s_name", by=["cond"]), ["cond"])
+
+
+@query("""WITH f AS (SELECT o_orderstatus AS cond, o_orderpriority AS sample, count(*) AS c FROM orders GROUP BY 1, 2), t AS (SELECT cond, sum(c) AS n FROM f GROUP BY 1),
+a AS (SELECT cond, sample FROM (SELECT DISTINCT cond FROM f UNION ALL SELECT 'none'), (SELECT DISTINCT sample FROM f UNION ALL SELECT 'none'))
+SELECT cond, sample, round(CASE WHEN n IS NULL THEN 0.1 ELSE (coalesce(c, 0) + 0.5) / (n + 10 * 0.5) END, 12) AS prob FROM a LEFT JOIN t USING (cond) LEFT JOIN f USING (cond, sample)""")
+def conditional_probability(spark, d):
+    own = spark.read.parquet(f"{d}/orders.parquet").withColumnRenamed("o_orderstatus", "cond")
+    dist = freq.count(own, "o_orderpriority", by=["cond"])
+    table = prob.conditional(dist, prob.ele, bins=10)
+    none = spark.createDataFrame([("none",)], "x string")
+    asked = dist.select("cond").distinct().union(none).crossJoin(dist.select("sample").distinct().union(none))  # statuses by priorities
+    return prob.conditional_lookup(table, asked, 0.1).select("cond", "sample", r("prob", 12).alias("prob"))
+
+
 # n-gram language model over event types per user
 
 
@@ -401,29 +469,67 @@ one AS (SELECT substr(w, i, 1) AS gram, count(*) AS c FROM (SELECT word || ' ' A
 
 @query(f"""WITH {_MODEL}, init AS (SELECT 0.0001::DOUBLE AS i, k * 0.0001::DOUBLE + (SELECT sum(c) FROM one) AS total FROM sym),
 s AS (SELECT word, sum(ln((coalesce(c, 0) + i) / total)) AS x FROM (SELECT word, unnest(string_split(word || ' ', '')) AS gram FROM ask) LEFT JOIN one USING (gram), init GROUP BY word)
-SELECT word, cnt IS NOT NULL AS known, round(CASE WHEN cnt IS NULL THEN -1e300 ELSE ln(cnt / n) END, 9) AS familiar,
-       round(x + ln((b + 1) / (b + 1 + n)) - ln(1 - ((SELECT c FROM one WHERE gram = ' ') + i) / total), 9) AS phoneme,
-       round(CASE WHEN cnt IS NOT NULL THEN ln(cnt / n) ELSE x + ln((b + 1) / (b + 1 + n)) - ln(1 - ((SELECT c FROM one WHERE gram = ' ') + i) / total) END, 9) AS score
+SELECT word, cnt IS NOT NULL AS known, round(CASE WHEN cnt IS NULL THEN -1e300 ELSE ln(cnt / n) END, 6) AS familiar,
+       round(x + ln((b + 1) / (b + 1 + n)) - ln(1 - ((SELECT c FROM one WHERE gram = ' ') + i) / total), 6) AS phoneme,
+       round(CASE WHEN cnt IS NOT NULL THEN ln(cnt / n) ELSE x + ln((b + 1) / (b + 1 + n)) - ln(1 - ((SELECT c FROM one WHERE gram = ' ') + i) / total) END, 6) AS score
 FROM s LEFT JOIN lex ON lex.sample = word, tot, init""")
 def word_scores(spark, d):
-    return _scored(spark, d, SegmenterConfig()).select("word", "known", r("familiar").alias("familiar"), r("phoneme").alias("phoneme"), r("score").alias("score"))
+    return _scored(spark, d, SegmenterConfig()).select("word", "known", r("familiar", 6).alias("familiar"), r("phoneme", 6).alias("phoneme"), r("score", 6).alias("score"))
 
 
 @query(f"""WITH {_MODEL}, two AS (SELECT substr(w, i, 2) AS gram, count(*) AS c FROM (SELECT ' ' || word || ' ' AS w FROM typ), unnest(range(1, length(w))) AS t(i) GROUP BY 1),
 init AS (SELECT 0.0001::DOUBLE * k * 2 AS i1, 0.0001::DOUBLE AS i2 FROM sym),
 g AS (SELECT word, substr(' ' || word || ' ', i, 2) AS gram FROM ask, unnest(range(1, length(word) + 2)) AS t(i)),
 x AS (SELECT word, sum(ln((coalesce(two.c, 0) + i2) / (coalesce(one.c, 0) + i1))) AS x FROM g LEFT JOIN two ON two.gram = g.gram LEFT JOIN one ON one.gram = substr(g.gram, 1, 1), init GROUP BY word)
-SELECT word, round(x + ln((b + 1) / (b + 1 + n)), 9) AS phoneme,
+SELECT word, round(x + ln((b + 1) / (b + 1 + n)), 6) AS phoneme,
        round(ln(0.2 * CASE WHEN cnt IS NULL THEN 0 ELSE cnt / n END + 0.2 * exp(x + ln((b + 1) / (b + 1 + n)))), 6) AS score FROM x LEFT JOIN lex ON lex.sample = word, tot""")
 def weighted_scores(spark, d):
     config = SegmenterConfig(phoneme_window=2, weighted_sum=True)
-    return _scored(spark, d, config).select("word", r("phoneme").alias("phoneme"), r("score", 6).alias("score"))
+    return _scored(spark, d, config).select("word", r("phoneme", 6).alias("phoneme"), r("score", 6).alias("score"))
 
 
 @query()
 def piecewise_scores(spark, d):
     corpus = talk(spark, d)
-    return cues.piecewise(C.word_types(corpus), corpus, SegmenterConfig()).select("word", r("piecewise").alias("piecewise"))
+    return cues.piecewise(C.word_types(corpus), corpus, SegmenterConfig()).select("word", r("piecewise", 6).alias("piecewise"))
+
+
+@query(f"""WITH {_MODEL}, o AS (SELECT sum(c) AS total FROM one),
+s AS (SELECT word, CASE WHEN count(*) > count(c) THEN -1e300 ELSE sum(ln(c / total)) END AS x FROM (SELECT word, unnest(string_split(word || ' ', '')) AS gram FROM ask) LEFT JOIN one USING (gram), o GROUP BY word)
+SELECT word, round(CASE WHEN cnt IS NULL THEN -1e300 ELSE ln((cnt + 1) / (n + 1) * pow(cnt / (cnt + 1), 2)) END, 6) AS familiar,
+       round(CASE WHEN x <= -1e300 THEN -1e300 ELSE x + ln(6 / pow(pi(), 2) * (b + 1) / (n + 1) * pow(b / (b + 1), 2)) - ln(1 - (SELECT c FROM one WHERE gram = ' ') / total) END, 6) AS phoneme
+FROM s LEFT JOIN lex ON lex.sample = word, tot, o""")
+def mbdp_scores(spark, d):
+    return _scored(spark, d, SegmenterConfig(mbdp=True)).select("word", r("familiar", 6).alias("familiar"), r("phoneme", 6).alias("phoneme"))
+
+
+@query(f"""WITH {_MODEL}, init AS (SELECT 0.0001::DOUBLE AS i, k * 0.0001::DOUBLE + (SELECT sum(c) FROM one) AS total FROM sym),
+g AS (SELECT word, gram, count(*) AS mine FROM (SELECT word, unnest(string_split(word || ' ', '')) AS gram FROM ask) WHERE gram <> '' GROUP BY 1, 2),
+s AS (SELECT word, sum(mine * ln((coalesce(c, 0) + i + mine) / (total + length(word) + 1))) AS x, max(1 - ((SELECT c FROM one WHERE gram = ' ') + i + 1) / (total + length(word) + 1)) AS rest FROM g LEFT JOIN one USING (gram), init GROUP BY word)
+SELECT word, round(x + ln((b + 1) / (b + 1 + n)) - ln(rest), 6) AS phoneme FROM s, tot""")
+def hypothetical_scores(spark, d):
+    return _scored(spark, d, SegmenterConfig(hypothetical_phonotactics=True)).select("word", r("phoneme", 6).alias("phoneme"))
+
+
+@query(f"""WITH {_MODEL}, two AS (SELECT substr(w, i, 2) AS gram, count(*) AS c FROM (SELECT ' ' || word || ' ' AS w FROM typ), unnest(range(1, length(w))) AS t(i) GROUP BY 1),
+init AS (SELECT 0.0001::DOUBLE AS i, k * (k - 1) * 0.0001::DOUBLE + (SELECT sum(c) FROM two) AS total FROM sym),
+g AS (SELECT word, substr(' ' || word || ' ', i, 2) AS gram FROM ask, unnest(range(1, length(word) + 2)) AS t(i)),
+x AS (SELECT word, sum(ln((coalesce(c, 0) + init.i) / total)) AS x FROM g LEFT JOIN two USING (gram), init GROUP BY word)
+SELECT word, round(x + ln((b + 1) / (b + 1 + n)), 6) AS phoneme FROM x, tot""")
+def joint_scores(spark, d):
+    return _scored(spark, d, SegmenterConfig(phoneme_window=2, joint_probability=True)).select("word", r("phoneme", 6).alias("phoneme"))
+
+
+@query(f"WITH {UTT}, {DOC}, ask AS (SELECT DISTINCT word FROM doc) SELECT word, round(CASE WHEN cnt IS NULL THEN ln(b / (n + b)) ELSE ln(cnt / (n + b + 1)) END, 6) AS familiar FROM ask LEFT JOIN lex ON lex.sample = word, tot")
+def witten_bell_scores(spark, d):
+    model = cues.train(talk(spark, d), SegmenterConfig(witten_bell=True))
+    return cues.familiar(C.word_types(C.document_lines(spark, d)), model).select("word", r("familiar", 6).alias("familiar"))
+
+
+@query(f"WITH {UTT}, {DOC}, ask AS (SELECT DISTINCT word FROM doc) SELECT word, round(CASE WHEN cnt IS NULL THEN -1e300 ELSE ln(cnt / (n + b)) END, 6) AS familiar FROM ask LEFT JOIN lex ON lex.sample = word, tot")
+def type_denominator_scores(spark, d):
+    model = cues.train(talk(spark, d), SegmenterConfig(type_denominator=True))
+    return cues.familiar(C.word_types(C.document_lines(spark, d)), model).select("word", r("familiar", 6).alias("familiar"))
 
 
 # search and learning
@@ -574,6 +680,24 @@ def prefix_counts(spark, d):
     return substrings.containment(C.word_list(talk(spark, d)), prefix=True)
 
 
+@query(f"WITH {UTT} SELECT a.word, count(b.word) AS cnt FROM typ a LEFT JOIN typ b ON b.word <> a.word AND ends_with(b.word, a.word) GROUP BY 1")
+def suffix_counts(spark, d):
+    return substrings.containment(C.word_list(talk(spark, d)), suffix=True)
+
+
+@query(f"""WITH {_SIDES}, nb AS (SELECT utt_id, pos, word AS w1, lead(word) OVER (PARTITION BY utt_id ORDER BY pos) AS w2 FROM tok),
+k AS (SELECT w1, w2, utt_id AS since FROM nb WHERE w2 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY w1, w2 ORDER BY utt_id, pos) = 10)
+SELECT DISTINCT f.utt_id, f.pos AS widx FROM f JOIN g a ON a.utt_id = f.utt_id AND a.s < f.e AND f.s < a.e JOIN g b ON b.utt_id = f.utt_id AND b.s < f.e AND f.s < b.e AND b.pos = a.pos + 1
+JOIN k ON k.w1 = a.word AND k.w2 = b.word AND k.since <= f.utt_id""")
+def frequent_collocations_merged(spark, d):
+    return evaluate.classify_found(*_sides(spark, d)).filter("collocation_under").select("utt_id", big("widx"))
+
+
+@query(f"WITH {UTT} SELECT word, length(word) AS size, count(*) AS cnt FROM tok GROUP BY 1, 2")
+def word_list(spark, d):
+    return C.word_list(talk(spark, d), tokens=True).groupBy("word", F.col("size").cast("long").alias("size")).agg(F.count("*").alias("cnt"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Segmentation of all conversation lines under a frozen model."""
     return viterbi_segmentation(spark, d)

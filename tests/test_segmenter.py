@@ -23,6 +23,7 @@ OPTIONS = [
     dict(phoneme_window=2, subseq_denominator=True),
     dict(phoneme_window=2, subseq_denominator=True, joint_probability=True),
     dict(phoneme_window=2, token_phonotactics=True),
+    dict(phoneme_window=2, witten_bell=True),
 ]
 
 
