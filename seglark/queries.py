@@ -547,10 +547,15 @@ def viterbi_segmentation(spark, d):
 
 @query()
 def online_learning(spark, d):
-    """The exact learner over the order comments of each priority: one run per nation's customers, in order of key."""
-    customers = spark.read.parquet(f"{d}/nation.parquet").join(spark.read.parquet(f"{d}/region.parquet"), F.col("n_regionkey") == F.col("r_regionkey"))
-    own = customers.select(F.lower("r_name").alias("run"), F.col("n_nationkey").alias("utt_id"), F.lower("n_name").alias("text"))
-    runs = {x["run"]: SegmenterConfig() for x in own.select("run").distinct().collect()}
+    """The online learner over the lines of each role, in order: one run per role; words of up to 24 symbols."""
+    ship(spark)
+    table = spark.read.parquet(f"{d}/conversations.parquet")
+    roles = [x["role"] for x in table.select("role").distinct().orderBy("role").collect()]
+    lines = [C.from_table(table.filter(F.col("role").eqNullSafe(x)), F.col("conv_id") * 1000 + F.col("turn"), step=1000).withColumn("run", F.lit(x)) for x in roles]
+    own = lines[0]
+    for more in lines[1:]:
+        own = own.unionByName(more)
+    runs = {x: SegmenterConfig(exact=False, max_word_len=24) for x in roles}
     return learner.run(own, runs).select("run", "utt_id", F.array_join("words", " ").alias("text"))
 
 
