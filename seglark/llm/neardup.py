@@ -41,6 +41,8 @@ COORDINATES = 32
 #: Classes of a block of a posting list, and classes and characters of a block of a group.
 LIST_BLOCK, GROUP_BLOCK, GROUP_CHARS = 1024, 1024, 8_000_000
 MAX_WORDS = 300_000
+#: Classes in a posting list from which on its count is kept apart.
+HOT_LIST = 256
 
 
 def matches_for(percent: int, coordinates: int = COORDINATES) -> int:
@@ -204,20 +206,31 @@ def in_blocks(df: DataFrame, key: str, block: F.Column, blocks: F.Column) -> Dat
     return df.drop("_n", "_b", "_o")
 
 
+def with_count(rows: DataFrame, name: str, hot: int = HOT_LIST) -> DataFrame:
+    """``rows (node, key)`` with the number of rows of their key, without those that are alone in theirs.
+
+    Keys of more than ``hot`` rows are few.  Their counts are a table of their
+    own, which Spark broadcasts if its written size allows; the rows of these
+    keys then stay where they are instead of meeting in one task each.
+    """
+    counts = cut(rows.groupBy("key").agg(F.count("*").alias(name)).filter(F.col(name) > 1), "dup-counts")
+    heavy = cut(counts.filter(F.col(name) > hot), "dup-heavy")
+    light = rows.join(heavy.select("key"), "key", "left_anti").join(counts.filter(F.col(name) <= hot), "key")
+    return light.unionByName(rows.join(heavy, "key"))
+
+
 def candidate_links(reps: DataFrame, coordinates: int, matches: int, list_block: int = LIST_BLOCK) -> DataFrame:
     """A spanning forest, list by list, of the pairs of ``reps (node, sig)`` that agree on ``matches`` coordinates."""
     n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     posted = reps.select("node", F.posexplode("sig").alias("k", "value"))
     posted = posted.select("node", (F.shiftleft(F.col("k").cast("long"), 32) + F.col("value").cast("long") + (1 << 31)).alias("key"))
-    shared = posted.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
-    posted = posted.join(shared, "key")
+    posted = with_count(posted, "df")
     # Of a class's pairs, rarest first, those up to place coordinates - matches + 1 are its prefix;
     # pairs that it shares with no class come first of all and are not posted.
     own = F.sort_array(F.collect_list(F.struct("df", "key")))  # at most one per coordinate
     prefix = posted.groupBy("node").agg(own.alias("own")).filter(F.size("own") >= matches)
-    prefix = prefix.select("node", F.explode(F.slice("own", 1, F.size("own") - (matches - 1))).alias("p")).select("node", "p.key", "p.df")
-    lists = prefix.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
-    rows = prefix.select("node", "key").join(lists, "key").join(reps.select("node", "sig"), "node")
+    prefix = prefix.select("node", F.explode(F.slice("own", 1, F.size("own") - (matches - 1))).alias("p")).select("node", "p.key")
+    rows = with_count(cut(prefix, "dup-prefix"), "m").join(reps.select("node", "sig"), "node")
     blocks = F.ceil(F.col("m") / list_block).cast("int")
     rows = in_blocks(rows, "key", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / list_block)).cast("int"), blocks)
     rows = rows.select("key", "cell", "node", "sig").repartition(n, "key", "cell").sortWithinPartitions("key", "cell", "node")
