@@ -6,9 +6,11 @@ All functions take ``by``: columns that hold one distribution each.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def count(df: DataFrame, sample: Column | str, weight: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -66,18 +68,43 @@ def mode(dist: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return dist.groupBy(*by).agg(F.max(F.struct("cnt", "sample")).alias("m")).select(*by, F.col("m.sample").alias("sample"), F.col("m.cnt").alias("cnt"))
 
 
+def coarse(col: str, df: DataFrame) -> Column:
+    """A coarser key in the same order: the first symbols of a text, or a whole number without its last digits."""
+    kind = df.schema[col].dataType
+    if isinstance(kind, T.StringType):
+        return F.substring(col, 1, 3)
+    return F.floor(F.col(col) / 4096) if isinstance(kind, T.IntegralType) else F.col(col)
+
+
+def running(df: DataFrame, value: Column, by: Sequence[str], order: str) -> DataFrame:
+    """``df`` with ``before``: the sum of ``value`` over earlier rows of the group in order of ``order``.
+
+    Sums are taken within stretches of a coarser key, and over the stretches'
+    totals: one group may hold most of the rows and needn't fit in a task.
+    """
+    rows = df.withColumn("_v", value).withColumn("_k", coarse(order, df))
+    keys = [*by, "_k"]
+    sums = rows.groupBy(*keys).agg(F.sum("_v").alias("_sum"))
+    earlier = Window.partitionBy(*by).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_in", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
+    same = [rows[k].eqNullSafe(sums[k]) for k in keys]
+    joined = rows.join(sums, reduce(lambda x, y: x & y, same))
+    return joined.select(*[rows[c] for c in df.columns], (F.col("_in") + F.col("_base")).alias("before"))
+
+
 def cumulative(dist: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Running sums in the order of :func:`ordered`.
 
-    Counts repeat far more than samples, so the sums over whole counts are
-    taken on the counts of counts; inside a count the order is by sample.
+    Counts repeat far more than samples: sums over whole counts are taken on
+    the counts of counts, and within a count the rank of the sample is enough.
     """
     levels = dist.groupBy(*by, "cnt").agg(F.count("*").alias("k"))
     above = Window.partitionBy(*by).orderBy(F.desc("cnt")).rowsBetween(Window.unboundedPreceding, -1)
     levels = levels.withColumn("above", F.coalesce(F.sum(F.col("cnt") * F.col("k")).over(above), F.lit(0))).drop("k")
-    inside = Window.partitionBy(*by, "cnt").orderBy("sample")
-    out = dist.withColumn("rank", F.row_number().over(inside)).join(levels, [*by, "cnt"])
-    return out.select(*by, "sample", "cnt", (F.col("above") + F.col("rank") * F.col("cnt")).alias("cum"))
+    out = running(dist, F.lit(1), [*by, "cnt"], "sample").join(levels, [*by, "cnt"])
+    return out.select(*by, "sample", "cnt", (F.col("above") + (F.col("before") + 1) * F.col("cnt")).alias("cum"))
 
 
 def lookup(dist: DataFrame, samples: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -211,15 +211,14 @@ def sum_logs(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
 
 
 def generate(probs: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """``(draw, sample)``: n samples by the inverse of the cumulative distribution in order of count and sample.
+    """``(draw, sample)``: n samples by the inverse of the cumulative distribution in order of samples.
 
-    The running sum is a window over the distribution; draws find their
-    interval by a join on a grid cell that both fall in, not with all rows.
+    Running sums are taken in stretches of the order; draws find their interval
+    by a join on a grid cell that both fall in, not with all rows.
     """
     spark = probs.sparkSession
-    order = [F.desc("cnt"), F.col("sample")] if "cnt" in probs.columns else [F.col("sample")]
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    table = probs.withColumn("hi", F.sum("prob").over(w)).withColumn("lo", F.col("hi") - F.col("prob")).filter("prob > 0")
+    table = freq.running(probs.select("sample", "prob", F.lit(0).alias("g")).filter("prob > 0"), F.col("prob"), ["g"], "sample")
+    table = table.select("sample", F.col("before").cast("double").alias("lo"), (F.col("before") + F.col("prob")).alias("hi"))
     cells = 1024
     last = F.least(F.floor(F.col("hi") * cells), F.lit(cells))
     table = table.select("sample", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * cells), last)).alias("cell"))

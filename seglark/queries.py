@@ -562,10 +562,7 @@ def online_learning(spark, d):
 @query(f"""WITH {UTT}, o AS (SELECT row_number() OVER (ORDER BY utt_id) AS utt_id, text FROM utt), s AS (SELECT CAST(floor(count(*) / 10) AS BIGINT) AS size FROM o)
 SELECT utt_id, CASE WHEN (utt_id - 1) // size < 10 THEN CAST((utt_id - 1) // size AS BIGINT) END AS fold FROM o, s""")
 def kfold_split(spark, d):
-    from pyspark.sql import Window
-
-    own = talk(spark, d).select(F.row_number().over(Window.orderBy("utt_id")).cast("long").alias("utt_id"), "text")
-    return crossval.folds(own, 10).select("utt_id", F.col("fold").cast("long").alias("fold"))
+    return crossval.folds(C.numbered(talk(spark, d)), 10).select("utt_id", F.col("fold").cast("long").alias("fold"))
 
 
 @query()

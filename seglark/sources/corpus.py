@@ -5,7 +5,7 @@ Order is part of a corpus: every utterance has an explicit ``utt_id``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -32,6 +32,18 @@ def from_table(table: DataFrame, order: Column, text: str = "text", step: int =
     return lines.filter(F.trim("line") != "").select((F.col("o") * step + F.col("at")).alias("utt_id"), F.col("line").alias("text"))
 
 
+def numbered(corpus: DataFrame, stretch: int = 1_000_000) -> DataFrame:
+    """``corpus`` with ``utt_id`` counted from 1 without gaps, in the same order.
+
+    Rows are counted within stretches of ids and over the stretches' totals.
+    """
+    rows = corpus.withColumn("_k", F.floor(F.col("utt_id") / stretch))
+    sums = rows.groupBy("_k").agg(F.count("*").alias("_n"))
+    sums = sums.select("_k", F.coalesce(F.sum("_n").over(Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # one row per stretch
+    rows = rows.withColumn("_in", F.row_number().over(Window.partitionBy("_k").orderBy("utt_id"))).join(sums, "_k")
+    return rows.withColumn("utt_id", (F.col("_base") + F.col("_in")).cast("long")).select(*corpus.columns)
+
+
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of all conversations in order of conversation, turn and line."""
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet")
