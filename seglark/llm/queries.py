@@ -80,7 +80,20 @@ _ALL = (
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ORACLES = {
+    "op10_minhash_postings": f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, list_slice(w, i, i + 2) AS s FROM d, unnest(range(1, greatest(len(w) - 1, 2))) AS t(i) WHERE len(w) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * k >= 85 * (p.n + q.n - k)),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT w.y, r.c FROM reach r JOIN ways w ON w.x = r.doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d JOIN (SELECT doc_id, min(c) AS component_id FROM reach GROUP BY 1) USING (doc_id) LEFT JOIN sizes USING (doc_id)""",
     "op9_line_frequency": line_rules.ORACLE,
     "op3_merkle_audit": "SELECT page_id, 'changed' AS kind FROM pages WHERE page_id % 61 = 7",
     "op7_topk_blocks": """
