@@ -47,20 +47,31 @@ def test_scores(spark, edges, order, monkeypatch):
         assert x[:2] == y[:2] and x[2:4] == pytest.approx(y[2:4], abs=1e-4) and x[4:] == y[4:]
 
 
-def test_distribution_sums_to_one(spark):
+def test_probabilities_sum_to_one(spark):
+    """After "a": the words of the training texts, the end, and one share for all unseen words."""
     rows = [(i, t) for i, t in enumerate(["a b", "a c", "b a a", "c"] * 5)]
-    train = [(i, t) for i, t in rows if not lm.held_out(i)]
-    words = ["a", "b", "c"]
-    probes = [(10_000_000 + k, f"a {w}") for k, w in enumerate([*words, "unseen"])] + [(20_000_000, "a")]
-    docs = spark.createDataFrame([*train, *[(i, t) for i, t in probes if lm.held_out(i)]], "doc_id long, text string")
-    # probes that the rule would train on are given an id that it holds out
-    held = [i for i in range(30_000_000, 30_000_400) if lm.held_out(i)]
-    docs = spark.createDataFrame([*train, *[(held[k], f"a {w}") for k, w in enumerate([*words, "unseen"])], (held[9], "a")], "doc_id long, text string")
+    held = [i for i in range(1000, 3000) if lm.held_out(i)]
+    words = ["a", "b", "c", "unseen"]
+    probes = {held[k]: f"a {w}" for k, w in enumerate(words)} | {held[30]: "a"}
+    docs = spark.createDataFrame([*rows, *probes.items()], "doc_id long, text string")
     score = {r["doc_id"]: r["score"] for r in lm.score(docs).collect()}
-    start = score[held[9]]
-    # p(end | a) = score("a") / score prefix; p(w | a) p(end | w) otherwise: compare with counts by hand
-    expected = by_hand([*train, *[(held[k], f"a {w}") for k, w in enumerate([*words, "unseen"])], (held[9], "a")], lm.MU, 2)
-    assert start == pytest.approx(expected[-1][1])
+    alone = spark.createDataFrame([*rows, *((held[50 + k], w) for k, w in enumerate(words))], "doc_id long, text string")
+    single = {r["doc_id"]: r["score"] for r in lm.score(alone).collect()}
+    counts = by_hand([*rows, (held[60], "")], lm.MU, 2)
+    n = counts[-1][4]
+    v = 4  # a, b, c and the end
+    count = {"a": 0, "b": 0, "c": 0, "unseen": 0}
+    starts, train = {}, [t.split() for i, t in rows if not lm.held_out(i)]
+    for ws in train:
+        starts[ws[0]] = starts.get(ws[0], 0) + 1
+        for w in ws:
+            count[w] += 1
+    first = lambda w: (starts.get(w, 0) + lm.MU * (count[w] + 1) / (n + v + 1)) / (len(train) + lm.MU)
+    total = 10 ** score[held[30]] / first("a")  # p(end | a)
+    for k, w in enumerate(words):
+        end = 10 ** single[held[50 + k]] / first(w)  # p(end | w)
+        total += 10 ** score[held[k]] / first("a") / end
+    assert total == pytest.approx(1)
 
 
 def test_better_than_base_on_held_out(spark):

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from seglark.operators import evaluate, features, substrings
 from seglark.sources import charts
