@@ -211,12 +211,12 @@ class TrieBPE:
 
 
 class ChunkCoder:
-    """Encodes texts through their distinct blank-separated pieces.
+    """Encodes texts through their distinct pieces between blanks and newlines.
 
-    In a text where every blank is followed by something that isn't white
-    space, no pre-token reaches from one side of a blank to the other, except
-    that the blank itself goes with what follows.  Such texts are cut at their
-    blanks, each distinct piece is encoded once, and a document's ids are
+    In a text where every blank and newline is followed by something that isn't
+    white space, no pre-token reaches across one of them, except that a blank
+    goes with what follows.  Such texts are cut before their blanks and
+    newlines, each distinct piece is encoded once, and a document's ids are
     gathered from the pieces' ids.  All other texts are encoded as a whole.
 
     ``encode_flat`` takes pieces and returns all their ids, one after the
@@ -228,7 +228,7 @@ class ChunkCoder:
         self.forget()
 
     def forget(self) -> None:
-        #: Place of each piece; without its blank, or with a zero before it where it begins a text.
+        #: Place of each piece: without its blank, with its newline, or with a zero before it where it begins a text.
         self.at: dict[str, int] = {}
         self.chars = self.used = 0
         self.flat = np.empty(1 << 16, self.dtype)
@@ -236,7 +236,7 @@ class ChunkCoder:
         self.odd = np.zeros(1 << 12, bool)
 
     def _learn(self, keys: list[str]) -> None:
-        ids, sizes = self.encode_flat([k[1:] if k[:1] == "\0" else " " + k for k in keys])
+        ids, sizes = self.encode_flat([k[1:] if k[:1] == "\0" else k if k[:1] == "\n" else " " + k for k in keys])
         n, to = len(self.at), len(self.at) + len(keys)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
@@ -245,7 +245,7 @@ class ChunkCoder:
         self.flat[self.used : self.used + len(ids)] = ids
         self.start[n:to] = self.used + np.cumsum(sizes) - sizes
         self.size[n:to] = sizes
-        self.odd[n:to] = [not k or k[0].isspace() or k[0] == "\0" and (len(k) < 2 or k[1].isspace() or k[1] == "\0") for k in keys]
+        self.odd[n:to] = [len(k) < 2 or k[1].isspace() if k[:1] in ("\0", "\n") else not k or k[0].isspace() for k in keys]
         self.used += len(ids)
         self.chars += sum(map(len, keys))
         self.at.update(zip(keys, range(n, to)))
@@ -253,7 +253,7 @@ class ChunkCoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.at) > self.most or self.chars > CACHE_CHARS * self.most / CACHE_WORDS:
             self.forget()
-        keyed = [text.split(" ") for text in texts]
+        keyed = [text.replace("\n", " \n").split(" ") for text in texts]
         for own in keyed:
             own[0] = "\0" + own[0]
         fresh = set().union(*keyed) - self.at.keys()

@@ -44,7 +44,8 @@ BLOCK_BYTES, SHARD_BYTES = 64 << 10, 64 << 20
 BITS_PER_KEY, HASHES = 10, 7
 #: Pieces that are encoded in one call.
 JOINED = 2000
-#: Pieces that a worker remembers.
+#: Bytes of text encoded at a time, and pieces that a worker remembers.
+BATCH_BYTES = 6_000_000
 CACHE_PIECES = 1_200_000
 
 
@@ -205,10 +206,10 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def library_encoder(library):
-    """Encodes pieces with the tokenizers library, many that begin with a blank in one call.
+    """Encodes pieces with the tokenizers library, many that begin with a blank or newline in one call.
 
-    Where pieces that begin with a blank stand one after another, the library
-    splits the text at those blanks, so its ids are those of the pieces, one
+    Where such pieces stand one after another, the library splits the text
+    before their blanks and newlines, so its ids are those of the pieces, one
     after the other.  Where each piece ends follows from the lengths of the
     tokens in bytes; pieces for which that doesn't fit are encoded alone.
     """
@@ -226,7 +227,7 @@ def library_encoder(library):
         at = 0
         while at < len(pieces):
             end = at
-            while end < len(pieces) and end < at + JOINED and (end == at or pieces[end][:1] == " " and pieces[end][1:2].strip()):
+            while end < len(pieces) and end < at + JOINED and (end == at or pieces[end][:1] in (" ", "\n") and pieces[end][1:2].strip()):
                 end += 1
             some = pieces[at:end]
             whole = np.array(library.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, np.int64)
@@ -298,7 +299,7 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int | None = None,
 
         for batch in batches:
             ids_of = batch.column("doc_id").to_pylist()
-            for begin, texts in text_batches(batch.column("text")):
+            for begin, texts in text_batches(batch.column("text"), BATCH_BYTES):
                 for doc_id, ids in zip(ids_of[begin:], coder.encode(texts)):
                     if open_ and open_[0].offset >= SHARD_BYTES:
                         finish()
