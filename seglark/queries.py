@@ -547,7 +547,7 @@ def viterbi_segmentation(spark, d):
 
 @query()
 def online_learning(spark, d):
-    """The online learner over the lines of each role, in order: one run per role; words of up to 24 symbols."""
+    """The online learner over the lines of each role, in order: one run per role; words of any length."""
     ship(spark)
     table = spark.read.parquet(f"{d}/conversations.parquet")
     roles = [x["role"] for x in table.select("role").distinct().orderBy("role").collect()]
@@ -555,7 +555,7 @@ def online_learning(spark, d):
     own = lines[0]
     for more in lines[1:]:
         own = own.unionByName(more)
-    runs = {x: SegmenterConfig(exact=False, max_word_len=24) for x in roles}
+    runs = {x: SegmenterConfig(exact=False) for x in roles}
     return learner.run(own, runs).select("run", "utt_id", F.array_join("words", " ").alias("text"))
 
 
