@@ -110,6 +110,15 @@ def substrings(col: Column, max_len: int | None = None) -> Column:
     return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(1), n), ending))).otherwise(none)
 
 
+def each_substring(df: DataFrame, name: str, max_len: int | None = None) -> DataFrame:
+    """``df`` with the column ``name`` replaced by its :func:`substrings`, a row each; never all of a text in one array."""
+    others = [c for c in df.columns if c != name]
+    ends = df.filter(F.length(name) > 0).select(*others, name, F.explode(F.sequence(F.lit(1), F.length(name))).alias("e"))
+    first = F.lit(0) if max_len is None else F.greatest(F.col("e") - max_len, F.lit(0))
+    both = ends.select(*others, name, "e", F.explode(F.sequence(first, F.col("e") - 1)).alias("s"))
+    return both.select(*others, "s", "e", F.substring(F.col(name), F.col("s") + 1, F.col("e") - F.col("s")).alias("word"))
+
+
 def symbols(col: Column) -> Column:
     return F.filter(F.split(col, ""), lambda c: c != "")
 

@@ -95,8 +95,8 @@ def train(corpus: DataFrame, config: SegmenterConfig = SegmenterConfig()) -> Fro
 def subsequence_counts(corpus: DataFrame, max_len: int | None = None, delim: str = " ") -> DataFrame:
     """``(gram, subs)``: how often each string occurs in stripped utterances."""
     text = X.strip_delimiters(F.col("text"), delim)
-    found = corpus.select(F.explode(X.substrings(text, max_len)).alias("x"))
-    return found.groupBy(F.col("x.word").alias("gram")).agg(F.count("*").alias("subs"))
+    found = X.each_substring(corpus.select(text.alias("t")), "t", max_len)
+    return found.groupBy(F.col("word").alias("gram")).agg(F.count("*").alias("subs"))
 
 
 def familiar(words: DataFrame, model: FrozenModel, subseqs: DataFrame | None = None) -> DataFrame:

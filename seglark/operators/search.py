@@ -22,7 +22,7 @@ MAX_MODEL = 256 << 20
 def candidates(utts: DataFrame, max_word_len: int | None = None, delim: str = " ") -> DataFrame:
     """``(utt_id, s, e, word)``: all substrings of the stripped utterances."""
     text = X.strip_delimiters(F.col("text"), delim)
-    return utts.select("utt_id", F.explode(X.substrings(text, max_word_len)).alias("x")).select("utt_id", "x.*")
+    return X.each_substring(utts.select("utt_id", text.alias("t")), "t", max_word_len)
 
 
 def viterbi(scored: DataFrame) -> DataFrame:
