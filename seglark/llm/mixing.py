@@ -6,10 +6,12 @@ before slot ceil((j + 1) / w).  Earliest deadline first among the released
 blocks meets all deadlines where the weights sum to one, and so after every
 slot each source has had within one block of its share.
 
-Weights are fractions of ``SLOTS``; the schedule then repeats after ``SLOTS``
-slots, because all windows begin anew there.  One period is computed once (a
-table with a fixed bound) and each block finds its slot by its number: no part
-of the schedule walks over the data.
+Weights are fractions of a period that the whole mixture fits in, and so are
+not rounded again and again.  A mixture of up to ``SLOTS`` slots takes one
+period of that many.  A longer one takes ``FINE`` times as many slots as it
+needs, where a weight is off by less than a thousandth of a block over the
+whole mixture; only the blocks that exist are then scheduled, one heap entry
+and one row for each ``BLOCK_CHARS`` characters (300,000 for 30 GB).
 """
 
 from __future__ import annotations
@@ -17,11 +19,13 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Mapping
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SLOTS, BLOCK_CHARS, GROUP_ROWS = 1000, 100_000, 1024
+FINE = 1000
 MAX_SOURCES = 100_000
 TEMPERATURE = 0.5
 #: Key under which rows without a source are scheduled.
@@ -29,41 +33,61 @@ NO_SOURCE = "\0none"
 
 
 def quotas(weights: Mapping[str, float], slots: int = SLOTS) -> dict[str, int]:
-    """Slots of a period for each source: largest remainders, and at least one each."""
+    """Slots of a period for each source by largest remainders; none for weights that round to none."""
     if not weights:
         return {}
     if any(not (w > 0 and math.isfinite(w)) for w in weights.values()):
         raise ValueError("weights must be positive and finite")
     slots = max(slots, 10 * len(weights))
-    total = sum(weights.values())
-    exact = {s: (slots - len(weights)) * w / total for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
+    total = sum(map(Fraction, weights.values()))
+    exact = {s: slots * Fraction(w) / total for s, w in weights.items()}
+    out = {s: int(x) for s, x in exact.items()}
     rest = slots - sum(out.values())
-    for s in sorted(weights, key=lambda s: (int(exact[s]) - exact[s], s))[:rest]:
+    for s in sorted(weights, key=lambda s: (out[s] - exact[s], s))[:rest]:
         out[s] += 1
     return out
 
 
 def schedule(quota: Mapping[str, int]) -> list[tuple[str, int]]:
     """Per slot of one period, the source and the number of its block in the period."""
+    return [(s, j) for _, s, j in slots_of(quota, quota)]
+
+
+def slots_of(quota: Mapping[str, int], blocks: Mapping[str, int]) -> list[tuple[int, str, int]]:
+    """Slot, source and number of the first ``blocks`` of each source (its quota at most), in order of slots."""
     period = sum(quota.values())
-    waiting = [(0, s, 0) for s in sorted(quota)]  # release, source, block
+    waiting = [(0, s, 0) for s in sorted(quota) if quota[s] and blocks[s]]  # release, source, block
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []  # deadline, source, block
-    out = []
-    for slot in range(period):
+    out, slot = [], 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
             _, s, j = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(j + 1) * period // quota[s]), s, j))
         deadline, s, j = heapq.heappop(ready)
         if deadline <= slot:
             raise AssertionError("a deadline was missed")
-        out.append((s, j))
-        if j + 1 < quota[s]:
+        out.append((slot, s, j))
+        if j + 1 < blocks[s]:
             heapq.heappush(waiting, ((j + 1) * period // quota[s], s, j + 1))
+        slot += 1
     return out
 
 
+def mixture(target: Mapping[str, float], blocks: Mapping[str, int], slots: int = SLOTS) -> list[tuple[int, str, int]]:
+    """Slot, source and number of all ``blocks``, by target weights."""
+    if not target:
+        return []
+    total = sum(map(Fraction, target.values()))
+    needed = max(math.ceil(blocks[s] * total / Fraction(w)) for s, w in target.items())
+    quota = quotas(target, slots)
+    if needed <= sum(quota.values()):  # and so no quota is under the source's blocks
+        return slots_of(quota, quota)
+    return slots_of(quotas(target, FINE * needed), blocks)
+
+
 def plan(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_chars: int = BLOCK_CHARS, temperature: float = TEMPERATURE, slots: int = SLOTS) -> DataFrame:
     """The slot of every document: ``doc_id, source, n_chars, block, slot, chars_before``.
 
@@ -96,11 +120,10 @@ def _place(own: DataFrame, weights, block_chars: int, temperature: float, slots:
     unnamed = {s: p for s, p in powers.items() if s not in given}
     left = max(1e-9, 1 - sum(given.values())) if unnamed else 0
     target = {s: given[s] if s in given else left * p / sum(unnamed.values()) for s, p in powers.items()}
-    quota = quotas(target, slots)
-    period = sum(quota.values())
+    blocks = {r["_s"]: -(-r["chars"] // block_chars) for r in sums}
     groups = {r["_s"]: -(-r["rows"] // GROUP_ROWS) for r in sums}
-    per_source = spark.createDataFrame([(s, quota[s], groups[s]) for s in sorted(quota)], "_s string, _quota long, _groups long")
-    template = spark.createDataFrame([(s, j, t) for t, (s, j) in enumerate(schedule(quota))], "_s string, _j long, _t long")
+    per_source = spark.createDataFrame([(s, groups[s]) for s in sorted(groups)], "_s string, _groups long")
+    template = spark.createDataFrame([(s, j, t) for t, s, j in mixture(target, blocks, slots) if j < blocks[s]], "_s string, block long, slot long")
 
     # A source's rows are split by hash into groups of about GROUP_ROWS; running sums are taken
     # within the groups, and over the groups' totals: no source has to fit in one task.
@@ -114,11 +137,9 @@ def _place(own: DataFrame, weights, block_chars: int, temperature: float, slots:
     rows = rows.withColumn("_in", F.coalesce(F.sum("n_chars").over(inside), F.lit(0))).join(totals, ["_s", "_g"])
     rows = rows.withColumn("chars_before", F.col("_in") + F.col("_before"))
     rows = rows.withColumn("block", F.floor(F.col("chars_before") / block_chars))
-    rows = rows.withColumn("_j", F.col("block") % F.col("_quota"))
-    rows = rows.join(F.broadcast(template), ["_s", "_j"])  # one row per slot of a period
-    slot = F.floor(F.col("block") / F.col("_quota")) * period + F.col("_t")
+    rows = rows.join(F.broadcast(template), ["_s", "block"])  # one row per block
     kept = [c for c in own.columns if not c.startswith("_")]
-    return rows.select(*kept, "block", slot.alias("slot"), "chars_before")
+    return rows.select(*kept, "block", "slot", "chars_before")
 
 
 def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_chars: int = BLOCK_CHARS, temperature: float = TEMPERATURE, slots: int = SLOTS) -> DataFrame:

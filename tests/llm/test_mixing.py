@@ -62,3 +62,22 @@ def test_given_weights_and_order(spark, edges, empty):
     assert mixed.columns == edges.columns and mixed.count() == edges.count()
     assert sorted(map(str, mixed.collect())) == sorted(map(str, edges.collect()))
     assert mixing.plan(empty).count() == 0 and mixing.mix(empty).count() == 0
+
+
+def test_less_than_one_block_off_the_target_over_several_periods(spark):
+    target = {"hot": 0.5, "rare": 0.0001} | {f"s{i}": 0.4999 / 18 for i in range(18)}
+    n = 6000
+    rows = [(i, "x", s) for i, s in enumerate(s for s, w in target.items() for _ in range(int(w * n) + 1))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["slot"]: r["source"] for r in mixing.plan(docs, target, block_chars=1).collect()}
+    assert len(got) == len(rows)
+    had = collections.Counter()
+    for slot in range(n):
+        had[got.get(slot)] += 1
+        assert all(abs(had[s] - w * (slot + 1)) < 1.01 for s, w in target.items())
+
+
+def test_quotas_round_the_weights():
+    got = mixing.quotas({"hot": 0.5, **{f"s{i}": 0.5 / 19 for i in range(19)}})
+    assert got["hot"] == 500 and sum(got.values()) == 1000
+    assert mixing.quotas({"a": 0.0001, "b": 0.9999}) == {"a": 0, "b": 1000}
