@@ -30,8 +30,17 @@ PATTERNS = {
 }
 #: What a text must hold for a span of the kind to pass: most texts stop here.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?+[0-9]){12}", "phone": "+"}
-#: An identifier-like token: letters and digits with joining marks, five characters or more, two digits at least.
-CANDIDATE = r"(?<![A-Za-z0-9])(?=[A-Za-z0-9@._%+-]{0,60}?[0-9][A-Za-z0-9@._%+-]{0,60}?[0-9])[A-Za-z0-9][A-Za-z0-9@._%+-]{3,}+(?<=[A-Za-z0-9])"
+#: What may begin an identifier-like token: letters and digits with joining marks that hold two digits, a joining "@" or "-at-".
+#: Leading marks are part of the match, so that no run is looked through twice; trailing ones are not.
+CANDIDATE = (
+    r"(?<![A-Za-z0-9@._%+-])[@._%+-]*+"
+    r"(?=[A-Za-z@._%+-]*+[0-9][A-Za-z@._%+-]*+[0-9]|[A-Za-z0-9._%+-]++@[@._%+-]*+[A-Za-z0-9]|[A-Za-z0-9@._%+-]+?-[Aa][Tt]-[A-Za-z0-9])"
+    r"[A-Za-z0-9]++(?:[@._%+-]++[A-Za-z0-9]++)*+"
+)
+#: What a text must hold for a candidate.
+CANDIDATE_NEEDS = r"[0-9@]|-[Aa][Tt]-"
+#: Symbols of a candidate at least.
+LEAST = 4
 ROUNDS, MIN_SEEDS, CONFIDENCE, SMOOTH = 3, 3, 0.8, 0.5
 LEFT, RIGHT = 80, 40
 BLOCK = 256
@@ -102,6 +111,12 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(needs, found).otherwise(F.array().cast(_SPANS))
 
 
+def _bare(spans: Column) -> Column:
+    """Candidates without their leading marks, where enough is left."""
+    bare = F.transform(spans, lambda s: F.struct(s["end"].alias("end"), F.regexp_replace(s["value"], "^[@._%+-]++", "").alias("value")))
+    return F.transform(F.filter(bare, lambda s: F.length(s["value"]) >= LEAST), lambda s: F.struct((s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+
+
 def with_base(docs: DataFrame, *more: Column) -> DataFrame:
     text = F.coalesce(docs["text"], F.lit(""))
     own = docs.select(docs["doc_id"].alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"), *more)
@@ -111,7 +126,7 @@ def with_base(docs: DataFrame, *more: Column) -> DataFrame:
 def instances(docs: DataFrame) -> DataFrame:
     """One row per seed or candidate: ``doc_id, text_hash, kind`` (null: candidate), ``start, end, value, patterns``."""
     own = with_base(docs)
-    found = F.when(F.col("text").rlike("[0-9]"), located(F.col("text"), CANDIDATE)).otherwise(F.array().cast(_SPANS))
+    found = F.when(F.col("text").rlike(CANDIDATE_NEEDS), _bare(located(F.col("text"), CANDIDATE))).otherwise(F.array().cast(_SPANS))
     own = own.select("*", found.alias("c")).filter(F.size("c") + sum((F.size(k) for k in KINDS), F.lit(0)) > 0)
     taken = F.concat(*KINDS)
     free = let(taken, lambda t: F.filter("c", lambda c: ~F.exists(t, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))

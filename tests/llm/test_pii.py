@@ -76,3 +76,21 @@ def test_running_sums(spark):
 def test_nothing(spark, text):
     r = pii.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert r["spans"] == "" and r["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+UNSEEN = [
+    ("jo199-at-mail-example", " thanks"), ("jo299-at-mail-example", ". Thanks"), ("AB12345", "."), ("AB-12346", "- yes"), ("CD77", ""), ("jo399-at-mail-example", ""),
+    ("kim@localhost", " thanks"), ("kim.lee@localhost", "."), ("jo-at-mail-example", ""), ("x" * 100 + "-12", " thanks"), ("a1" + "b" * 90 + "2", ". Thanks"),
+]
+
+
+def test_unseen_identifiers_before_marks_without_digits_and_long_ones(spark):
+    rows = [(i, f"some words before contact address user{i}@mail.example.com thanks and more") for i in range(60)]
+    rows += [(100 + i, f"please use contact address {mark}{x}{after}") for i, (x, after) in enumerate(UNSEEN) for mark in ["-(" if i % 2 else ""]]
+    rows += [(200, "please use contact address soon. Thanks"), (201, "a." * 20_000 + " and -" + "%" * 20_000), (202, "contact address x1.2 thanks")]
+    got = {r["doc_id"]: r["spans"] for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (x, _) in enumerate(UNSEEN):
+        kind, a, b = got[100 + i].split(":")
+        assert kind == "email" and dict(rows)[100 + i][int(a) : int(b)] == x
+    assert got[200] == got[201] == ""
+    assert pii.mask(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id = 102").first()["text"] == "please use contact address [EMAIL]."
