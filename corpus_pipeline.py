@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from seglark.llm import bpe, mixing, neardup, pii, toxicity
-from seglark.llm.common import cut, documents
+from seglark.llm.common import cut, documents, in_written_order
 from seglark.llm.queries import tokenizer_path
 from seglark.session import ship
 
@@ -35,9 +35,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the encoded texts."""
+    """Token counts and digests of the encoded texts, and their ``position`` in the mixture (growing, with gaps)."""
     ship(spark)
-    return bpe.digests(docs, tokenizer_path())
+    return bpe.digests(in_written_order(docs), tokenizer_path(), more=["position"])
 
 
 STAGES = [

@@ -20,7 +20,7 @@ import ctypes
 import gc
 import hashlib
 import json
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -343,23 +343,24 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     return _map_ids(docs, tokenizer, id_col, text_col, "n_tokens long, ids binary", lambda bpe, ids: (ids.astype("<u4").tobytes(),))
 
 
-def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of the encoded and again decoded texts."""
+def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", more: Sequence[str] = ()) -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of the encoded and again decoded texts, and the columns ``more`` as they are."""
 
     def make(bpe: TrieBPE, ids: np.ndarray) -> tuple:
         raw = ids.astype("<u4").tobytes()
         text = bpe.decode(np.frombuffer(raw, "<u4").tolist())
         return hashlib.sha256(raw).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
-    return _map_ids(docs, tokenizer, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    return _map_ids(docs, tokenizer, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", make, more)
 
 
-def _map_ids(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, columns: str, make: Callable) -> DataFrame:
+def _map_ids(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, columns: str, make: Callable, more: Sequence[str] = ()) -> DataFrame:
     spark = docs.sparkSession
-    own = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    own = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), *more)
     shared = spark.sparkContext.broadcast(tokenizer_text(tokenizer))
-    schema = T.StructType([own.schema["doc_id"], *T.StructType.fromDDL(columns)])
-    arrow = pa.schema([("n_tokens", pa.int64()), *((f.name, pa.binary() if f.dataType == T.BinaryType() else pa.string()) for f in schema.fields[2:])])
+    made_here = T.StructType.fromDDL(columns)
+    schema = T.StructType([own.schema["doc_id"], *made_here, *own.schema.fields[2:]])
+    arrow = pa.schema([("n_tokens", pa.int64()), *((f.name, pa.binary() if f.dataType == T.BinaryType() else pa.string()) for f in made_here.fields[1:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = once(hashlib.sha256(shared.value.encode()).hexdigest(), lambda: TrieBPE(shared.value))
@@ -370,7 +371,8 @@ def _map_ids(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, column
                 ids = bpe.coder.encode(texts)
                 rows = [(len(i), *make(bpe, i)) for i in ids]
                 made = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, len(texts)), *made], names=schema.names)
+                kept = [batch.column(c).slice(begin, len(texts)) for c in ("doc_id", *more)]
+                yield pa.RecordBatch.from_arrays([kept[0], *made, *kept[1:]], names=schema.names)
 
     return own.mapInArrow(tidy(run), schema)
 

@@ -45,6 +45,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_written_order(df: DataFrame, name: str = "position") -> DataFrame:
+    """``df`` with a number that grows in the order in which its rows were written.
+
+    Spark reads files in any order, but a row keeps its file's number and its
+    place there.  What is not a plain table of files is written first.
+    """
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        df = cut(df, "ordered")
+    file = F.col("_metadata.file_name")
+    part, more = F.regexp_extract(file, r"^part-(\d+)", 1).cast("long"), F.regexp_extract(file, r"-c(\d+)\.", 1).cast("long")
+    return df.select("*", (F.shiftleft(part, 42) + F.shiftleft(more, 32) + F.col("_metadata.row_index")).alias(name))
+
+
 def drop_cut(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files behind a table from :func:`cut` that nothing reads any more."""
     jvm = spark.sparkContext._jvm

@@ -59,3 +59,27 @@ def test_registered(spark):
     import __spark_entry__ as entry
 
     assert set(entry.queries()) >= {*queries.QUERIES, "pipeline"}
+
+
+def test_the_mixture_decides_the_result(spark, monkeypatch):
+    """The last stage tells the order of the mixing stage, read again from files, and every prefix has its shares."""
+    from seglark.llm import mixing
+    from seglark.llm.common import cut
+
+    monkeypatch.setattr(mixing.mix, "__defaults__", (None, 300, *mixing.mix.__defaults__[2:]))
+    rows = [(i, "word " * 6, "en", "hot" if i % 3 else f"s{i % 4}", 30) for i in range(3000)]
+    docs = cut(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "test-mix")
+    mixed = corpus_pipeline.mix_sources(spark, docs, SF)
+    source = {i: s for i, _, _, s, _ in rows}
+    plan = mixing.plan(docs, block_chars=300).collect()
+    expected = [source[r["doc_id"]] for r in sorted(plan, key=lambda r: (r["slot"], r["chars_before"]))]
+    weights = {s: sum(x == s for x in source.values()) ** 0.5 for s in set(source.values())}
+    for read in (mixed, cut(mixed, "test-mixed")):
+        out = sorted(corpus_pipeline.encode(spark, read, SF).collect(), key=lambda r: r["position"])
+        assert len({r["position"] for r in out}) == len(out) == 3000
+        assert [source[r["doc_id"]] for r in out] == expected
+        for n in range(100, 1000, 100):  # until a source has run out
+            for s, w in weights.items():
+                assert abs(sum(source[r["doc_id"]] == s for r in out[:n]) - n * w / sum(weights.values())) <= 20
+    plain = sorted(corpus_pipeline.encode(spark, docs, SF).collect(), key=lambda r: r["position"])
+    assert [r["doc_id"] for r in plain] != [r["doc_id"] for r in out]
