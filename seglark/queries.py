@@ -567,7 +567,7 @@ def online_learning(spark, d):
     ship(spark)
     table = spark.read.parquet(f"{d}/conversations.parquet")
     roles = [x["role"] for x in table.select("role").distinct().orderBy("role").collect()]
-    lines = [C.from_table(table.filter(F.col("role").eqNullSafe(x)), F.col("conv_id") * 1000 + F.col("turn"), step=1000).withColumn("run", F.lit(x)) for x in roles]
+    lines = [C.from_table(table.filter(F.col("role").eqNullSafe(x)), C.turn_order(), step=1000).withColumn("run", F.lit(x)) for x in roles]
     own = lines[0]
     for more in lines[1:]:
         own = own.unionByName(more)

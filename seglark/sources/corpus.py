@@ -26,10 +26,18 @@ def from_table(table: DataFrame, order: Column, text: str = "text", step: int =
     """``(utt_id, text)``: the lines of a text column, ``utt_id`` = order * step + line.
 
     ``order`` is a whole number that is unique per row and below 2^63 / step;
-    a text may have up to ``step`` lines.  No shuffle; blank lines are dropped.
+    a text may have up to ``step`` lines, and a longer one fails the query.  No
+    shuffle; blank lines are dropped.
     """
     lines = table.select(order.cast("long").alias("o"), F.posexplode(F.split(F.col(text), "\n")).alias("at", "line"))
-    return lines.filter(F.trim("line") != "").select((F.col("o") * step + F.col("at")).alias("utt_id"), F.col("line").alias("text"))
+    at = F.when(F.col("at") < step, F.col("at")).otherwise(F.raise_error(F.concat(F.lit(f"more than {step} lines in text "), F.col("o").cast("string"))))
+    return lines.filter(F.trim("line") != "").select((F.col("o") * step + at).alias("utt_id"), F.col("line").alias("text"))
+
+
+def turn_order() -> Column:
+    """Order of the rows of ``conversations``; a turn that would take the number of another conversation's fails the query."""
+    turn = F.col("turn").cast("long")
+    return F.col("conv_id") * 1000 + F.when(turn.between(0, 999), turn).otherwise(F.when(turn.isNotNull(), F.raise_error(F.concat(F.lit("turn out of 0 to 999 in conversation "), F.col("conv_id").cast("string"))).cast("long")))
 
 
 def numbered(corpus: DataFrame, stretch: int = 1_000_000) -> DataFrame:
@@ -47,7 +55,7 @@ def numbered(corpus: DataFrame, stretch: int = 1_000_000) -> DataFrame:
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of all conversations in order of conversation, turn and line."""
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return from_table(table, F.col("conv_id") * 1000 + F.col("turn"), step=1000)
+    return from_table(table, turn_order(), step=1000)
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
