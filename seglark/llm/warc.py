@@ -2,8 +2,9 @@
 
 Pages are written as WARC response records, one gzip member each, with an
 index of (shard, record, offset, length).  For an audit every stored record is
-hashed where it lies; digests of consecutive records are hashed together into
-a tree of ordered offset ranges.  Two replicas are compared from the root of
+hashed where it lies; offset ranges and digests of consecutive records are
+hashed together into a tree.  Records that a replica's files no longer hold
+have no leaf there, and so are found missing.  Two replicas are compared from the root of
 each shard down, and only children of nodes that differ are looked at, until
 the records that differ are found.
 """
@@ -51,6 +52,8 @@ def record(page_id: int | None, url: str | None, html: str | None) -> bytes:
 
 def parse(stored: bytes) -> tuple[int | None, str, str]:
     """(page_id, url, html) of one stored record; raises ``ValueError`` where it is damaged."""
+    if not stored:
+        raise ValueError("lost record")
     try:
         raw = gzip.decompress(stored)
     except (OSError, EOFError, zlib.error) as e:
@@ -143,7 +146,7 @@ def replicate(spark: SparkSession, source: str, target: str, damage: Column | No
 
 
 def read(spark: SparkSession, root: str) -> DataFrame:
-    """``page_id, url, html, damaged`` of all records; damaged ones have null url and html."""
+    """``page_id, url, html, damaged`` of all records; damaged and lost ones have null url and html."""
 
     def run(raw: bytes, page_id: int | None) -> tuple:
         try:
@@ -155,12 +158,17 @@ def read(spark: SparkSession, root: str) -> DataFrame:
 
 
 def digests(spark: SparkSession, root: str) -> DataFrame:
-    """The index with the SHA-256 of every stored record."""
-    return _stored(spark, root, lambda raw, _: (hashlib.sha256(raw).digest(),), "digest binary", [pa.binary()], with_index=True)
+    """The index with the SHA-256 of every stored record, without the records that are lost.
+
+    A record is lost where its shard's file is gone or ends before it; of a
+    record that is cut short, what is left is hashed.
+    """
+    found = _stored(spark, root, lambda raw, _: (hashlib.sha256(raw).digest() if raw else None,), "digest binary", [pa.binary()], with_index=True)
+    return found.filter("digest is not null")
 
 
 def _stored(spark: SparkSession, root: str, make, columns: str, types: list[pa.DataType], with_index: bool) -> DataFrame:
-    """Each shard is one task's work, record by record."""
+    """Each shard is one task's work, record by record; what a file doesn't hold is read as no bytes."""
     index = spark.read.schema(INDEX).parquet(f"{root}/index")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     by_shard = index.repartition(n, "shard").sortWithinPartitions("shard", "record")
@@ -173,9 +181,16 @@ def _stored(spark: SparkSession, root: str, make, columns: str, types: list[pa.D
             rows = []
             for shard, offset, length, page_id in zip(*(batch.column(c).to_pylist() for c in ("shard", "offset", "length", "page_id"))):
                 if shard != name:
-                    stream, name = fs.open_input_file(f"{at}/{shard}"), shard
-                stream.seek(offset)
-                rows.append(make(stream.read(length), page_id))
+                    try:
+                        stream, name = fs.open_input_file(f"{at}/{shard}"), shard
+                        size = stream.size()
+                    except FileNotFoundError:
+                        stream, name, size = None, shard, 0
+                raw = b""
+                if offset < size:
+                    stream.seek(offset)
+                    raw = stream.read(length)
+                rows.append(make(raw, page_id))
             made = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
             own = batch.columns if with_index else []
             yield pa.RecordBatch.from_arrays([*own, *made], names=[*(batch.schema.names if with_index else []), *names])
@@ -187,35 +202,41 @@ def tree(leaves: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
     """Levels of the Merkle trees of all shards, records first, one root per shard last.
 
     A node has ``shard, node, digest, first_offset, end_offset``; node i covers
-    children i * fanout to i * fanout + fanout - 1 in order of their offsets.
+    children i * fanout to i * fanout + fanout - 1 in order of their offsets,
+    and its digest is that of their numbers, offset ranges and digests.
     """
     leaves = cut(leaves, "merkle-leaves")
     level = leaves.select("shard", F.col("record").alias("node"), F.hex("digest").alias("digest"), F.col("offset").alias("first_offset"), (F.col("offset") + F.col("length")).alias("end_offset"))
     most = leaves.agg(F.max("record")).first()[0]
     levels, last = [level], most or 0
     while last > 0:
-        children = F.sort_array(F.collect_list(F.struct("node", "digest")))  # at most fanout of them
-        level = level.groupBy("shard", F.floor(F.col("node") / fanout).alias("node")).agg(
-            F.sha2(F.concat_ws(",", F.transform(children, lambda c: F.concat_ws(":", (c["node"] % fanout).cast("string"), c["digest"]))), 256).alias("digest"),
-            F.min("first_offset").alias("first_offset"),
-            F.max("end_offset").alias("end_offset"),
-        )
-        level = cut(level, "merkle-level")
+        level = cut(above(level, fanout), "merkle-level")
         levels.append(level)
         last //= fanout
     return levels
 
 
+def above(level: DataFrame, fanout: int = FANOUT) -> DataFrame:
+    """The nodes over those of ``level``."""
+    children = F.sort_array(F.collect_list(F.struct("node", "first_offset", "end_offset", "digest")))  # at most fanout of them
+    written = F.transform(children, lambda c: F.concat_ws(":", (c["node"] % fanout).cast("string"), c["first_offset"].cast("string"), c["end_offset"].cast("string"), c["digest"]))
+    return level.groupBy("shard", F.floor(F.col("node") / fanout).alias("node")).agg(
+        F.sha2(F.concat_ws(",", written), 256).alias("digest"),
+        F.min("first_offset").alias("first_offset"),
+        F.max("end_offset").alias("end_offset"),
+    )
+
+
 def audit(ours: list[DataFrame], theirs: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
     """Records that differ: ``shard, record, offset, end_offset, kind`` ("changed", "missing", "extra").
 
     Roots are compared first; each further level is read only below the nodes
     that differ one level up.
     """
-    if len(ours) != len(theirs):
-        longer, shorter = (ours, theirs) if len(ours) > len(theirs) else (theirs, ours)
-        while len(shorter) < len(longer):
-            shorter.append(shorter[-1].groupBy("shard", F.floor(F.col("node") / fanout).alias("node")).agg(F.first("digest").alias("digest"), F.min("first_offset").alias("first_offset"), F.max("end_offset").alias("end_offset")))
+    ours, theirs = list(ours), list(theirs)
+    for levels in (ours, theirs):
+        while len(levels) < max(len(ours), len(theirs)):
+            levels.append(above(levels[-1], fanout))
     open_: DataFrame | None = None
     for k in range(len(ours) - 1, -1, -1):
         a, b = ours[k], theirs[k]

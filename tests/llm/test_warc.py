@@ -47,6 +47,30 @@ def test_missing_and_extra(spark, pages, tmp_path):
     assert [r["kind"] for r in got] == ["extra"]
 
 
+def test_lost_and_short_files(spark, pages, tmp_path):
+    a, b = f"file://{tmp_path}/a", f"file://{tmp_path}/b"
+    index = warc.write(pages, a)
+    warc.replicate(spark, a, b)
+    records = index.orderBy("shard", "record").collect()
+    gone, short = sorted({r["shard"] for r in records})[:2]
+    (tmp_path / "b" / gone).unlink()
+    own = [r for r in records if r["shard"] == short]
+    with open(tmp_path / "b" / short, "r+b") as f:
+        f.truncate(own[-3]["offset"] + 10)
+    expected = {(r["shard"], r["record"], "missing") for r in records if r["shard"] == gone} | {(short, own[-3]["record"], "changed")} | {(short, r["record"], "missing") for r in own[-2:]}
+    got = warc.audit(warc.tree(warc.digests(spark, a), 4), warc.tree(warc.digests(spark, b), 4), 4).collect()
+    assert {(r["shard"], r["record"], r["kind"]) for r in got} == expected and len(got) == len(expected)
+    assert warc.read(spark, b).filter("damaged").count() == len(expected)
+
+
+def test_a_node_covers_its_ranges(spark):
+    rows = [("s", i, i * 10, 10, None, b"same") for i in range(9)]
+    moved = [("s", i, i * 10 + (i > 4), 10, None, b"same") for i in range(9)]
+    roots = [warc.tree(spark.createDataFrame(x, f"{warc.INDEX}, digest binary"), 3)[-1].collect() for x in (rows, rows, moved)]
+    assert roots[0] == roots[1] and roots[0][0]["digest"] != roots[2][0]["digest"]
+    assert (roots[2][0]["first_offset"], roots[2][0]["end_offset"]) == (0, 91)
+
+
 def test_empty(spark, pages, tmp_path):
     a = f"file://{tmp_path}/a"
     warc.write(pages.limit(0), a)
