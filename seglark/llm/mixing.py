@@ -21,12 +21,11 @@ import math
 from collections.abc import Mapping
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLOTS, BLOCK_CHARS, GROUP_ROWS = 1000, 100_000, 1024
 FINE = 1000
-MAX_SOURCES = 100_000
 TEMPERATURE = 0.5
 #: Key under which rows without a source are scheduled.
 NO_SOURCE = "\0none"
@@ -112,9 +111,7 @@ def plan(docs: DataFrame, weights: Mapping[str | None, float] | None = None, blo
 
 def _place(own: DataFrame, weights, block_chars: int, temperature: float, slots: int) -> DataFrame:
     spark = own.sparkSession
-    sums = own.groupBy("_s").agg(F.sum("n_chars").alias("chars"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
-    if len(sums) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    sums = own.groupBy("_s").agg(F.sum("n_chars").alias("chars"), F.count("*").alias("rows")).collect()  # one row per source
     given = {NO_SOURCE if s is None else s: w for s, w in (weights or {}).items()}
     powers = {r["_s"]: float(r["chars"]) ** temperature for r in sums}
     unnamed = {s: p for s, p in powers.items() if s not in given}
@@ -125,19 +122,26 @@ def _place(own: DataFrame, weights, block_chars: int, temperature: float, slots:
     per_source = spark.createDataFrame([(s, groups[s]) for s in sorted(groups)], "_s string, _groups long")
     template = spark.createDataFrame([(s, j, t) for t, s, j in mixture(target, blocks, slots) if j < blocks[s]], "_s string, block long, slot long")
 
-    # A source's rows are split by hash into groups of about GROUP_ROWS; running sums are taken
-    # within the groups, and over the groups' totals: no source has to fit in one task.
-    rows = own.join(F.broadcast(per_source), "_s")  # at most MAX_SOURCES rows
+    # A source's rows are split by hash into groups of about GROUP_ROWS; running sums are taken within
+    # the groups, over the totals of as many groups, and over those: no source has to fit in one task.
+    rows = own.join(per_source, "_s")
     part = F.floor((F.shiftrightunsigned("_h", 1).cast("double") / F.lit(float(1 << 63))) * F.col("_groups"))
     rows = rows.withColumn("_g", F.least(part, F.col("_groups") - 1))
     inside = Window.partitionBy("_s", "_g").orderBy(F.shiftrightunsigned("_h", 1), "doc_id", "n_chars").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy("_s", "_g").agg(F.sum("n_chars").alias("_sum"))
-    before = Window.partitionBy("_s").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("_s", "_g", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    totals = rows.groupBy("_s", "_g").agg(F.sum("n_chars").alias("_sum")).withColumn("_m", F.floor(F.col("_g") / GROUP_ROWS))
+    merged = totals.groupBy("_s", "_m").agg(F.sum("_sum").alias("_sums"))
+
+    def sum_before(name: str, *keys: str) -> Column:
+        window = Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(name).over(window), F.lit(0))
+
+    merged = merged.select("_s", "_m", sum_before("_sums", "_s", "_m").alias("_merged"))
+    totals = totals.withColumn("_before", sum_before("_sum", "_s", "_m", "_g")).join(merged, ["_s", "_m"])
+    totals = totals.select("_s", "_g", (F.col("_before") + F.col("_merged")).alias("_before"))
     rows = rows.withColumn("_in", F.coalesce(F.sum("n_chars").over(inside), F.lit(0))).join(totals, ["_s", "_g"])
     rows = rows.withColumn("chars_before", F.col("_in") + F.col("_before"))
     rows = rows.withColumn("block", F.floor(F.col("chars_before") / block_chars))
-    rows = rows.join(F.broadcast(template), ["_s", "block"])  # one row per block
+    rows = rows.join(template, ["_s", "block"])  # one row per block
     kept = [c for c in own.columns if not c.startswith("_")]
     return rows.select(*kept, "block", "slot", "chars_before")
 
