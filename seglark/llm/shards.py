@@ -254,7 +254,7 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int | None = None,
     """Encode ``documents`` with the tokenizers library and write shards in ``doc_id`` order.
 
     ``docs`` has ``doc_id`` (integer) and ``text``; other columns are ignored.
-    The rows are dealt by range of ``doc_id`` and sorted within each range, so
+    The rows are dealt by range of ``doc_id`` and text and sorted within each range, so
     that shard (part, seq) order is ``doc_id`` order.  Null identifiers come
     first; rows that share an identifier are all kept, in order of their text.
     Null and empty texts hold the end id alone, or nothing without one.  An
@@ -266,7 +266,8 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int | None = None,
     spark = docs.sparkSession
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = own.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # the beginning of the text tells rows of one identifier apart, so that no identifier has to fit in one task
+    ranged = own.repartitionByRange(n, F.col("doc_id"), F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     shared = spark.sparkContext.broadcast(tokenizer_text(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
