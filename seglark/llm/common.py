@@ -17,11 +17,14 @@ SPACE = "\\x20\\x09-\\x0D"
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    The setting of the session is used as it is; only where it is unset, as in
-    local tests, a folder of this machine is set for the session.
+    The setting of the session is used as it is.  Where it is unset, a folder of
+    this machine is set for a session that has no other machine (master
+    ``local``); on a cluster it would lose data, and so an error is raised.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="seglark-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
