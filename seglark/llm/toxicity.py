@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from .bpe import text_batches, tidy
 
-MAX_TRAIN, MAX_TERMS, MIN_DOCS, CHI2 = 20_000, 256, 4, 15.0
+MAX_TRAIN, MIN_DOCS, CHI2 = 20_000, 4, 15.0
 THRESHOLD = 0.5
 #: Bytes that end a term: everything in ASCII but letters and digits; other bytes belong to terms.
 _BREAKS = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
@@ -63,21 +63,54 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(margins[:, None] - self.thetas[None, :], -500, 500)))
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, l2: float = 1e-4, steps: int = 400, rate: float = 0.1, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class Sparse:
+    """Rows of features as (row, column, value) triples."""
+
+    shape: tuple[int, int]
+    row: np.ndarray
+    column: np.ndarray
+    value: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[tuple[list[int], list[float]]], width: int) -> Sparse:
+        sizes = [len(at) for at, _ in rows]
+        row = np.repeat(np.arange(len(rows)), sizes)
+        column = np.fromiter((i for at, _ in rows for i in at), np.int64, sum(sizes))
+        return cls((len(rows), width), row, column, np.fromiter((x for _, v in rows for x in v), np.float64, sum(sizes)))
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.column], self.shape[0])
+
+    def sums(self, by_row: np.ndarray) -> np.ndarray:
+        """Sums over rows of each column, every row multiplied by its number in ``by_row``."""
+        return np.bincount(self.column, self.value * by_row[self.row], self.shape[1])
+
+
+def log_likelihood(x: Sparse, y: np.ndarray, w: np.ndarray, thetas: np.ndarray, times: np.ndarray) -> float:
+    """Sum over rows of ``times`` log P(grade)."""
+    p = 1 / (1 + np.exp(-np.clip((x @ w)[:, None] - thetas, -40, 40)))
+    p = np.concatenate([np.ones((len(y), 1)), p, np.zeros((len(y), 1))], 1)
+    rows = np.arange(len(y))
+    return float(times @ np.log(np.maximum(p[rows, y] - p[rows, y + 1], 1e-12)))
+
+
+def fit_ordinal(x: Sparse, y: np.ndarray, grades: int, l2: float = 1e-4, steps: int = 400, rate: float = 0.1, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds that maximise the penalised likelihood (Adam, full batch).
 
-    ``times``: how often each row counts.
+    The likelihood is averaged over rows, ``times`` tells how often each
+    counts, and the penalty is ``l2 / 2`` times the squares of the weights.
     """
-    times = np.ones(len(x)) if times is None else times
+    times = np.ones(len(y)) if times is None else times
     d, n = x.shape[1], times.sum()
     w, gaps = np.zeros(d), np.zeros(grades - 1)
     moments = [np.zeros(d + grades - 1), np.zeros(d + grades - 1)]
+    rows = np.arange(len(y))
     for step in range(1, steps + 1):
         thetas = gaps[0] + np.concatenate([[0], np.cumsum(np.log1p(np.exp(gaps[1:])))])
         p = 1 / (1 + np.exp(-np.clip((x @ w)[:, None] - thetas, -40, 40)))
-        rows = np.arange(len(x))
-        upper = np.concatenate([np.ones((len(x), 1)), p], 1)[rows, y]
-        lower = np.concatenate([p, np.zeros((len(x), 1))], 1)[rows, y]
+        upper = np.concatenate([np.ones((len(y), 1)), p], 1)[rows, y]
+        lower = np.concatenate([p, np.zeros((len(y), 1))], 1)[rows, y]
         like = np.maximum(upper - lower, 1e-12)
         # derivative of the log-likelihood by the margin of each threshold
         slope = p * (1 - p)
@@ -88,7 +121,7 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, l2: float = 1e-4, ste
         g *= times[:, None]
         by_theta = -g.sum(0) / n
         by_gap = np.concatenate([[by_theta.sum()], [by_theta[k:].sum() / (1 + np.exp(-gaps[k])) for k in range(1, grades - 1)]])
-        grad = -np.concatenate([x.T @ g.sum(1) / n - l2 * w, by_gap])
+        grad = -np.concatenate([x.sums(g.sum(1)) / n - l2 * w, by_gap])
         moments[0] = 0.9 * moments[0] + 0.1 * grad
         moments[1] = 0.999 * moments[1] + 0.001 * grad**2
         change = rate * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.999**step)) + 1e-8)
@@ -97,17 +130,20 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, l2: float = 1e-4, ste
     return w, gaps[0] + np.concatenate([[0], np.cumsum(np.log1p(np.exp(gaps[1:])))])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_terms: int = MAX_TERMS) -> OrdinalModel:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> OrdinalModel:
     """Fit the model on a bounded sample of labelled rows.
 
     Rows with a null ``doc_id`` or ``toxic`` take no part; of repeated labels
-    the worst counts.  Without any labelled text, or with one class only, the
-    model has no terms and calls every text clean.
+    the worst counts, of rows that share a ``doc_id`` the one whose text has
+    the least hash.  Every term that ``MIN_DOCS`` rows of the sample hold and
+    that goes with toxic labels (chi-squared of ``CHI2`` or more) is a feature.
+    Without any labelled text, or with one class only, the model has no terms
+    and calls every text clean.
     """
     own = labels.select(labels["doc_id"].alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).dropna()
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = F.broadcast(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train))  # at most max_train ids
-    sample = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).join(chosen, "doc_id")
+    sample = docs.select(docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("text_hash"), docs["text"].alias("text")).join(chosen, "doc_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,10 +153,11 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_te
                 counts = Counter(terms_of(words))
                 rows.append((toxic, len(words), list(counts), list(counts.values())))
             types = [pa.int32(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], names=["doc_id", "toxic", "n", "terms", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], names=["doc_id", "text_hash", "toxic", "n", "terms", "counts"])
 
-    schema = T.StructType([sample.schema["doc_id"], *(T.StructField(n, t) for n, t in (("toxic", T.IntegerType()), ("n", T.LongType()), ("terms", T.ArrayType(T.BinaryType())), ("counts", T.ArrayType(T.LongType()))))])
-    counted = sample.mapInArrow(tidy(count), schema).persist()
+    schema = T.StructType([sample.schema["doc_id"], *(T.StructField(n, t) for n, t in (("text_hash", T.LongType()), ("toxic", T.IntegerType()), ("n", T.LongType()), ("terms", T.ArrayType(T.BinaryType())), ("counts", T.ArrayType(T.LongType()))))])
+    counted = sample.mapInArrow(tidy(count), schema)
+    counted = counted.groupBy("doc_id").agg(F.min(F.struct("text_hash", "toxic", "n", "terms", "counts")).alias("r")).select("r.toxic", "r.n", "r.terms", "r.counts").persist()
     try:
         n_all, n_bad = counted.agg(F.count("*"), F.sum("toxic")).first()
         if not n_bad or n_bad == n_all:
@@ -130,27 +167,28 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_te
         off = bad * n_all - df * n_bad
         stats = stats.withColumn("chi2", off * off * n_all / (df * (n_all - df) * n_bad * (n_all - n_bad))).filter(F.col("df") < n_all)
         stats = stats.filter((F.col("chi2") >= CHI2) & (bad * n_all > df * n_bad))
-        terms = [bytes(r["term"]) for r in stats.orderBy(F.desc("chi2"), "term").limit(max_terms).collect()]
+        terms = [bytes(r["term"]) for r in stats.orderBy("term").collect()]  # terms of the bounded sample
         at = {t: i for i, t in enumerate(terms)}
-        keep = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<binary>")
-        pairs = F.filter(F.arrays_zip("terms", "counts"), lambda p: F.array_contains(keep, p["terms"]))
-        rows = counted.select("toxic", "n", pairs.alias("pairs")).collect()  # at most max_train rows of max_terms terms
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [[(at[t], n) for t, n in zip(ts, ns) if t in at] for ts, ns in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist())]
+                lists = [pa.array([[p[k] for p in pairs] for pairs in found], pa.list_(pa.int64())) for k in range(2)]
+                yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("n"), *lists], names=["toxic", "n", "at", "times"])
+
+        rows = counted.mapInArrow(tidy(keep), "toxic int, n long, at array<long>, times array<long>").collect()  # at most max_train rows
     finally:
         counted.unpersist()
     model = OrdinalModel(terms, np.zeros(2 * len(terms)), np.zeros(2))
-    x, y, density = np.zeros((len(rows), 2 * len(terms)), np.float32), np.zeros(len(rows), int), np.zeros(len(rows))
-    for k, r in enumerate(rows):
-        found = {at[bytes(p["terms"])]: p["counts"] for p in r["pairs"]}
-        where, values = model.features(found, max(1, r["n"]))
-        x[k, where] = values
-        y[k], density[k] = min(1, max(0, r["toxic"])), sum(found.values()) / max(1, r["n"])
+    y = np.array([min(1, max(0, r["toxic"])) for r in rows])
+    density = np.array([sum(r["times"]) / max(1, r["n"]) for r in rows])
     y[(y == 1) & (density > np.median(density[y == 1]))] = 2
     # most texts have none of the terms: equal rows without features are one row that counts as often
-    some = x.any(1)
+    some = np.array([bool(r["at"]) for r in rows])
     plain = np.bincount(y[~some], minlength=3)
-    x = np.concatenate([x[some], np.zeros((3, x.shape[1]), np.float32)]).astype(np.float64)
-    times = np.concatenate([np.ones(some.sum()), plain])
-    model.weights, model.thetas = fit_ordinal(x, np.concatenate([y[some], [0, 1, 2]]), 3, times=times)
+    features = [model.features(dict(zip(r["at"], r["times"])), max(1, r["n"])) for r in rows if r["at"]]
+    x = Sparse.of([*features, ([], []), ([], []), ([], [])], 2 * len(terms))
+    model.weights, model.thetas = fit_ordinal(x, np.concatenate([y[some], [0, 1, 2]]), 3, times=np.concatenate([np.ones(some.sum()), plain]))
     return model
 
 
@@ -161,7 +199,7 @@ def score(docs: DataFrame, model: OrdinalModel, threshold: float = THRESHOLD) ->
     passed with probability ``threshold`` or more, ``rejected`` whether that is
     at least one.  Null and empty texts have no terms and get what the
     thresholds alone say; repeated rows are scored each; other columns are not
-    read.  The model has a fixed bound (``MAX_TERMS`` terms).
+    read.  The model has at most the terms of ``MAX_TRAIN`` rows.
     """
     own = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
     schema = T.StructType([own.schema["doc_id"], *(T.StructField(n, t) for n, t in (("p_toxic", T.DoubleType()), ("p_severe", T.DoubleType()), ("severity", T.DoubleType()), ("grade", T.IntegerType()), ("rejected", T.BooleanType())))])
