@@ -42,7 +42,8 @@ CANDIDATE_NEEDS = r"[0-9@]|-[Aa][Tt]-"
 #: Symbols of a candidate at least.
 LEAST = 4
 ROUNDS, MIN_SEEDS, CONFIDENCE, SMOOTH = 3, 3, 0.8, 0.5
-LEFT, RIGHT = 80, 40
+#: Symbols beside a span that are looked at first; further ones only where these don't hold whole words enough.
+NEAR = (80, 800)
 BLOCK = 256
 
 
@@ -136,19 +137,48 @@ def instances(docs: DataFrame) -> DataFrame:
 
     every = F.concat(*[tagged(F.col(k), F.lit(k)) for k in KINDS], tagged(free, F.lit(None).cast("string")))
     rows = own.select("doc_id", "text_hash", "text", F.explode(every).alias("s"))
-    left = F.substring(F.col("text"), F.greatest(F.col("s.start") - LEFT + 1, F.lit(1)), F.least(F.col("s.start"), F.lit(LEFT)))
-    right = F.substring(F.col("text"), F.col("s.end") + 1, F.lit(RIGHT))
-    rows = rows.select("doc_id", "text_hash", "s.*", F.lower(left).alias("left"), F.lower(right).alias("right"))
-    word = r"(\p{L}+)[^\p{L}]*$"
-    two = r"(\p{L}+)[^\p{L}]+(\p{L}+)[^\p{L}]*$"
-    one, pair, after = F.regexp_extract("left", word, 1), F.struct(F.regexp_extract("left", two, 1).alias("a"), F.regexp_extract("left", two, 2).alias("b")), F.regexp_extract("right", r"^[^\p{L}]*(\p{L}+)", 1)
+    rows = rows.select("doc_id", "text_hash", "s.*", before_span(F.col("text"), F.col("s.start")).alias("left"), after_span(F.col("text"), F.col("s.end")).alias("after"))
     patterns = F.array(
-        F.when(pair["a"] != "", F.concat(pair["a"], F.lit(" "), pair["b"], F.lit(" _"))),
-        F.when((one != "") & (after != ""), F.concat(one, F.lit(" _ "), after)),
+        F.when(F.col("left.a") != "", F.concat("left.a", F.lit(" "), "left.b", F.lit(" _"))),
+        F.when((F.col("left.b") != "") & (F.col("after") != ""), F.concat("left.b", F.lit(" _ "), "after")),
     )
     return rows.select("doc_id", "text_hash", "kind", "start", "end", "value", F.filter(patterns, lambda p: p.isNotNull()).alias("patterns"))
 
 
+def before_span(text: Column, start: Column) -> Column:
+    """The last two words (runs of letters) ``a`` and ``b`` before place ``start``, lower-cased; empty where there is none."""
+
+    def within(size: Column) -> Column:
+        own = F.substring(text, start - size + 1, size)
+        # a word that begins with the piece may have begun before it
+        two = F.regexp_extract(own, r"(\p{L}+)[^\p{L}]+\p{L}+[^\p{L}]*$", 1)
+        return F.struct(F.lower(two).alias("a"), F.lower(F.regexp_extract(own, r"(\p{L}+)[^\p{L}]*$", 1)).alias("b"), own.rlike(r"\P{L}\p{L}+[^\p{L}]+\p{L}+[^\p{L}]*$").alias("whole"))
+
+    return _nearest(start, within, lambda x: x)
+
+
+def after_span(text: Column, end: Column) -> Column:
+    """The first word after place ``end``, lower-cased; empty where there is none."""
+
+    def within(size: Column) -> Column:
+        own = F.substring(text, end + 1, size)
+        return F.struct(F.lower(F.regexp_extract(own, r"^[^\p{L}]*(\p{L}+)", 1)).alias("w"), own.rlike(r"^[^\p{L}]*\p{L}+\P{L}").alias("whole"))
+
+    return _nearest(F.length(text) - end, within, lambda x: x["w"])
+
+
+def _nearest(size: Column, within, value) -> Column:
+    """``value(within(n))`` for the least n of ``NEAR`` whose answer is whole, or for all of ``size``."""
+
+    def tiers(left: tuple[int, ...]) -> Column:
+        if not left:
+            return value(within(size))
+        wider = tiers(left[1:])
+        return F.when(size > left[0], let(within(F.lit(left[0])), lambda x: F.when(x["whole"], value(x)).otherwise(wider))).otherwise(value(within(size)))
+
+    return tiers(tuple(NEAR))
+
+
 def discover(found: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, confidence: float = CONFIDENCE) -> DataFrame:
     """``kind, value`` of candidates that high-confidence patterns name.
 

@@ -94,3 +94,72 @@ def test_unseen_identifiers_before_marks_without_digits_and_long_ones(spark):
         assert kind == "email" and dict(rows)[100 + i][int(a) : int(b)] == x
     assert got[200] == got[201] == ""
     assert pii.mask(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id = 102").first()["text"] == "please use contact address [EMAIL]."
+
+
+def words_around(text, start, end):
+    """Last two words before and first word after, by hand."""
+    letters = r"[^\W\d_]+"
+    left, right = re.findall(letters, text[:start].lower()), re.findall(letters, text[end:].lower())
+    return (left[-2] if len(left) > 1 else "", left[-1] if left else "", right[0] if right else "")
+
+
+def test_contexts_have_no_limit(spark, monkeypatch):
+    gaps = ["", " ", " " * 5, "-" * 70, "." * 300, "1 " * 1500]
+    words = ["a", "word", "w" * 100, "é" * 1000]
+    rows = [(f"{w} first{g}second{h}", f"{h}third{w}") for w in words for g in gaps[1:] for h in gaps]
+    rows = [(left + "@" + right, len(left), len(left) + 1) for left, right in rows] + [("@", 0, 1), ("a@b", 1, 2), ("a b@", 3, 4), ("  @  ", 2, 3)]
+    df = spark.createDataFrame(rows, "text string, start int, end int")
+    for near in ((80, 800), (3, 9)):
+        monkeypatch.setattr(pii, "NEAR", near)
+        got = df.select("text", "start", "end", pii.before_span(F.col("text"), F.col("start")).alias("l"), pii.after_span(F.col("text"), F.col("end")).alias("r")).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert (r["l"]["a"], r["l"]["b"], r["r"]) == words_around(r["text"], r["start"], r["end"])
+
+
+def graph_by_hand(edges, rounds=pii.ROUNDS, min_seeds=pii.MIN_SEEDS, confidence=pii.CONFIDENCE):
+    """Discovered value -> kind from (kind or None, value, pattern) edges."""
+    edges = set(edges)
+    seeded = {(p, k) for k, _, p in edges if k and len({v for j, v, q in edges if (j, q) == (k, p)}) >= min_seeds}
+    score = {}
+    for _ in range(rounds):
+        trust = {}
+        for p, k in seeded:
+            of = {}
+            for j, v, q in edges:
+                if q == p:
+                    known = score.get((v, k), 0.0) if j is None else float(j == k)
+                    of[v] = max(of.get(v, 0.0), known)
+            trust[p, k] = sum(of.values()) / (len(of) + pii.SMOOTH)
+        score = {}
+        for j, v, q in edges:
+            for p, k in seeded:
+                if j is None and p == q:
+                    score[v, k] = max(score.get((v, k), 0.0), trust[p, k])
+    out = {}
+    for v in {v for v, _ in score}:
+        best = max(pii.KINDS, key=lambda k: (score.get((v, k), -1.0), -pii.KINDS.index(k)))
+        if score.get((v, best), -1.0) >= confidence:
+            out[v] = best
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_graph_against_brute_force(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    edges = []
+    for p in range(8):
+        kinds = rng.choices([*pii.KINDS, None], [8 if rng.random() < 0.4 else 0, 3 if rng.random() < 0.4 else 0, 1, 9 if rng.random() < 0.3 else 0, 1.5], k=24)
+        edges += [(k, f"{k or 'c'}{rng.randrange(12)}", f"p{p}") for k in kinds]
+    edges += [("email", f"e{i}", "sure") for i in range(20)] + [(None, f"new{i}", "sure") for i in range(2)] + [(None, "new0", "other"), ("ip", "i1", "other")]
+    found = spark.createDataFrame([(k, v, [p]) for k, v, p in edges], "kind string, value string, patterns array<string>")
+    got = {r["value"]: r["kind"] for r in pii.discover(found).collect()}
+    assert got == graph_by_hand(edges) and got["new0"] == got["new1"] == "email"
+
+
+def test_no_python_in_the_plan(spark, edges):
+    for df in (pii.report(edges), pii.mask(edges)):
+        plan = df._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
