@@ -4,7 +4,7 @@ The model is an n-gram model smoothed towards the next shorter context,
 
     p(w | context) = (count(context w) + mu * p(w | shorter)) / (count(context) + mu)
 
-with add-one counts at the root.  As an automaton: every context seen in
+with a mu for each order and add-one counts at the root.  As an automaton: every context seen in
 training is a state; a seen n-gram is an arc that carries its log probability
 and leads to the longest context it ends in; every state has one failure arc
 to its shorter context that carries log(mu / (count(context) + mu)).  A text is
@@ -12,11 +12,13 @@ scored in one traversal from left to right: follow the arc of the next token,
 or failure arcs until there is one, and add up what they carry.
 
 Nothing of the model is collected or broadcast but two totals.  Documents are
-packed in chunks (a written table); each chunk asks for the counts of exactly
-the n-grams it holds.  Words or 64-bit n-gram keys go, once per chunk and
-sorted, to the task that owns their hash range, which adds up all chunks'
-training counts and answers each chunk with totals in the order of its own
-keys.  The part of the automaton that a chunk can reach is thus all it holds.
+packed in chunks (files of the shared folder); each chunk asks for the counts
+of exactly the n-grams it holds.  Words or 64-bit n-gram keys go, once per
+chunk and sorted, to the group that owns their hash range, which adds up all
+chunks' training counts and answers each chunk with totals in the order of its
+own keys.  From these a chunk builds the states, arcs and failure arcs that its
+texts can reach, and walks them.  There are as many hash ranges as chunks, so
+that neither a group nor a chunk grows with the corpus.
 """
 
 from __future__ import annotations
@@ -32,17 +34,21 @@ from pyspark.sql import functions as F
 
 from .bpe import text_batches
 from .common import cut, scratch
+from .shards import filesystem
 
 #: Tokens of a chunk; what a task holds at a time grows with this and not with the corpus.
 CHUNK_TOKENS = 2_500_000
-ORDER, MU = 2, 100.0
+#: Tasks that add up counts, by chunk.
+GROUPS = 2
+#: Tokens that are read one after the other; all such stretches of a chunk are read side by side.
+LANE = 256
+ORDER = 3
+#: mu of bigrams, trigrams and so on; the last also holds for all higher orders.  Chosen on held-out texts.
+MU = (1000.0, 5.0)
 FOLDS, HELD_OUT = 7, 2
-END, START = b"\0end", b"\0start"  # no word holds them: words come from split(), these are added
+END, START = b" end", b" start"  # no word holds a blank
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
-CHUNK = "chunk long, doc_ids array<long>, held binary, sizes binary, tokens binary, words binary"
-
-
 def held_out(doc_id: int | None) -> bool:
     """Whether a document is kept from training; a null identifier counts as an empty text."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD_OUT
@@ -78,39 +84,49 @@ def unpack(raw: bytes) -> np.ndarray:
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys: the first, then the differences, in six bytes each where that is enough."""
-    if not len(keys):
-        return b""
-    gaps = np.diff(keys, prepend=keys[:1]).astype("<u8")
-    if len(gaps) > 1 and int(gaps.max()) >> 48:
-        return b"8" + keys.astype("<u8").tobytes()
-    return b"6" + keys[:1].astype("<u8").tobytes() + gaps.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    """Sorted keys as their differences: the low five bytes as they are, the high ones, which repeat, in Huffman codes."""
+    gaps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
+    high = zlib.compressobj(1, zlib.DEFLATED, 15, 9, zlib.Z_HUFFMAN_ONLY)
+    return gaps[:, :5].tobytes() + high.compress(gaps[:, 5:].T.tobytes()) + high.flush() + len(keys).to_bytes(8, "little")
 
 
 def unpack_keys(raw: bytes) -> np.ndarray:
-    if not raw:
-        return np.zeros(0, np.uint64)
-    if raw[:1] == b"8":
-        return np.frombuffer(raw, "<u8", -1, 1).astype(np.uint64)
-    low = np.frombuffer(raw, np.uint8, -1, 9).reshape(-1, 6)
-    gaps = np.zeros((len(low), 8), np.uint8)
-    gaps[:, :6] = low
-    return np.frombuffer(raw, "<u8", 1, 1)[0] + np.cumsum(gaps.reshape(-1).view("<u8"), dtype=np.uint64)
+    n = int.from_bytes(raw[-8:], "little")
+    gaps = np.empty((n, 8), np.uint8)
+    gaps[:, :5] = np.frombuffer(raw, np.uint8, 5 * n).reshape(n, 5)
+    gaps[:, 5:] = np.frombuffer(zlib.decompress(raw[5 * n : -8]), np.uint8).reshape(3, n).T
+    return np.cumsum(gaps.reshape(-1).view("<u8"), dtype=np.uint64)
 
 
 class Chunk:
     """Some documents as arrays: ``tokens`` are ranks in ``words``, which are sorted by hash."""
 
-    def __init__(self, row: dict):
-        self.id, self.doc_ids = row["chunk"], row["doc_ids"]
-        self.held = np.frombuffer(row["held"], bool)
-        self.sizes = np.frombuffer(row["sizes"], "<i8")
-        self.tokens = np.frombuffer(row["tokens"], "<u4").astype(np.int64)
-        self.words = row["words"].split(b"\n")
+    def __init__(self, raw: bytes):
+        parts = pa.ipc.open_stream(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True)).read_all().to_pydict()
+        self.doc_ids = parts["doc_ids"][0]
+        self.held = np.frombuffer(parts["held"][0], bool)
+        self.sizes = np.frombuffer(parts["sizes"][0], "<i8")
+        self.tokens = np.frombuffer(parts["tokens"][0], "<u4").astype(np.int64)
+        self.words = parts["words"][0].split(b"\n")
         self.hash = hashes(self.words)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.training = np.repeat(~self.held, self.sizes)
 
+    @staticmethod
+    def stored(doc_ids: list[int | None], held: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, words: list[bytes]) -> bytes:
+        row = (doc_ids, held.tobytes(), sizes.astype("<i8").tobytes(), tokens.astype("<u4").tobytes(), b"\n".join(words))
+        batch = _batch([row], [pa.list_(pa.int64()), *[pa.large_binary()] * 4], ["doc_ids", "held", "sizes", "tokens", "words"])
+        stream = pa.BufferOutputStream()
+        with pa.ipc.new_stream(stream, batch.schema) as out:
+            out.write_batch(batch)
+        raw = stream.getvalue()
+        return raw.size.to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+    @classmethod
+    def read(cls, fs, path: str) -> Chunk:
+        with fs.open_input_file(path) as f:
+            return cls(f.read())
+
     def keys(self, order: int) -> list[np.ndarray]:
         """For orders 2 and up, the key of the n-gram that ends at each token; 0 where the text is too short."""
         word = self.hash[self.tokens]
@@ -130,31 +146,34 @@ class Chunk:
         return out
 
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents packed in chunks, written to the shared folder."""
+def chunks(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Documents packed in chunks, one file of the folder ``out`` each; returns a table of their numbers (``chunk``)."""
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        base, seq = TaskContext.get().partitionId() << 24, 0
-        names = ["chunk", "doc_ids", "held", "sizes", "tokens", "words"]
-        types = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4]
+        task, seq = TaskContext.get(), 0
+        fs, root = filesystem(out)
+        fs.create_dir(root, recursive=True)
 
         def fresh():
             return {END: 0}, [], [], [], 0
 
         def flush():
             words = list(local)
-            hashed = hashes(words)
-            order = np.argsort(hashed, kind="stable")
+            order = np.argsort(hashes(words), kind="stable")
             rank = np.empty(len(order), "<u4")
             rank[order] = np.arange(len(order))
             held = np.array([held_out(i) for i in ids], bool)
-            row = (base + seq, ids, held.tobytes(), np.array(sizes, "<i8").tobytes(), rank[np.concatenate(parts)].tobytes(), b"\n".join(words[i] for i in order))
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=names)
-
-        local, ids, sizes, parts, held_tokens = fresh()
+            chunk = task.partitionId() << 24 | seq
+            path = path_of(root, chunk)
+            with fs.open_output_stream(f"{path}.{task.taskAttemptId()}", compression=None) as f:
+                f.write(Chunk.stored(ids, held, np.array(sizes), rank[np.concatenate(parts)], [words[i] for i in order]))
+            fs.move(f"{path}.{task.taskAttemptId()}", path)
+            return pa.RecordBatch.from_arrays([pa.array([chunk])], names=["chunk"])
+
+        local, ids, sizes, parts, tokens = fresh()
         for batch in batches:
             ids_of = batch.column("doc_id").to_pylist()
             for begin, texts in text_batches(batch.column("text")):
@@ -164,37 +183,34 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                     parts.append(np.fromiter((local.setdefault(w, len(local)) for w in own_words), np.int64, len(own_words)))
                     ids.append(doc_id)
                     sizes.append(len(own_words))
-                    held_tokens += len(own_words)
-                    if held_tokens >= CHUNK_TOKENS:
+                    tokens += len(own_words)
+                    if tokens >= CHUNK_TOKENS:
                         yield flush()
                         seq += 1
-                        local, ids, sizes, parts, held_tokens = fresh()
+                        local, ids, sizes, parts, tokens = fresh()
         if ids:
             yield flush()
 
-    spark = docs.sparkSession
-    path = scratch(spark, "lm-chunks")
-    own.mapInArrow(run, CHUNK).write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(CHUNK).parquet(path)
+    return cut(own.mapInArrow(run, "chunk long"), "lm-chunks")
 
 
-def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
-    for i in range(batch.num_rows):
-        yield batch.slice(i, 1).to_pylist()[0]
+def path_of(root: str, chunk: int) -> str:
+    return f"{root}/chunk-{chunk >> 24:06d}-{chunk & 0xFFFFFF:06d}"
 
 
-def word_counts(table: DataFrame, parts: int) -> DataFrame:
+def word_counts(table: DataFrame, out: str, parts: int) -> DataFrame:
     """``(chunk, part, totals, n_types, n_tokens)``: training counts of each chunk's words by hash range."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = filesystem(out)
         for batch in batches:
-            for row in rows_of(batch):
-                c = Chunk(row)
+            for chunk in batch.column("chunk").to_pylist():
+                c = Chunk.read(fs, path_of(root, chunk))
                 counts = np.bincount(c.tokens[c.training], minlength=len(c.words))
                 at = slices(c.hash, parts)
                 filled = np.flatnonzero(np.diff(at))
-                made = [(int(p), c.id, b"\n".join(c.words[at[p] : at[p + 1]]), pack(counts[at[p] : at[p + 1]])) for p in filled]
-                yield _batch(made, [pa.int32(), pa.int64(), pa.binary(), pa.binary()], ["part", "chunk", "keys", "counts"])
+                made = [(int(p), chunk, b"\n".join(c.words[at[p] : at[p + 1]]), pack(counts[at[p] : at[p + 1]])) for p in filled]
+                yield _batch(made, [pa.int64(), pa.int64(), pa.binary(), pa.binary()], ["part", "chunk", "keys", "counts"])
 
     def add_up(group: pa.Table) -> pa.Table:
         total: dict[bytes, int] = {}
@@ -209,24 +225,25 @@ def word_counts(table: DataFrame, parts: int) -> DataFrame:
         sums = ([len(seen)] + [0] * (len(asked) - 1), [sum(seen)] + [0] * (len(asked) - 1))
         return pa.table({"chunk": group.column("chunk"), "part": group.column("part"), "totals": pa.array(answers, pa.binary()), "n_types": pa.array(sums[0], pa.int64()), "n_tokens": pa.array(sums[1], pa.int64())})
 
-    asked = table.mapInArrow(emit, "part int, chunk long, keys binary, counts binary")
-    return asked.groupBy("part").applyInArrow(add_up, "chunk long, part int, totals binary, n_types long, n_tokens long")
+    asked = table.mapInArrow(emit, "part long, chunk long, keys binary, counts binary").repartition(_tasks(table, GROUPS), "part")
+    return asked.groupBy("part").applyInArrow(add_up, "chunk long, part long, totals binary, n_types long, n_tokens long")
 
 
-def ngram_counts(table: DataFrame, parts: int, order: int) -> DataFrame:
+def ngram_counts(table: DataFrame, out: str, parts: int, order: int) -> DataFrame:
     """``(chunk, n, part, totals)``: training counts of each chunk's n-grams by hash range."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = filesystem(out)
         for batch in batches:
-            for row in rows_of(batch):
-                c = Chunk(row)
+            for chunk in batch.column("chunk").to_pylist():
+                c = Chunk.read(fs, path_of(root, chunk))
                 for n, keys in enumerate(c.keys(order), 2):
                     own, back = np.unique(keys, return_inverse=True)
                     counts = np.bincount(back[c.training], minlength=len(own))
                     at = slices(own, parts)
                     filled = np.flatnonzero(np.diff(at))
-                    made = [(n * parts + int(p), c.id, pack_keys(own[at[p] : at[p + 1]]), pack(counts[at[p] : at[p + 1]])) for p in filled]
-                    yield _batch(made, [pa.int32(), pa.int64(), pa.binary(), pa.binary()], ["part", "chunk", "keys", "counts"])
+                    made = [(n * parts + int(p), chunk, pack_keys(own[at[p] : at[p + 1]]), pack(counts[at[p] : at[p + 1]])) for p in filled]
+                    yield _batch(made, [pa.int64(), pa.int64(), pa.binary(), pa.binary()], ["part", "chunk", "keys", "counts"])
 
     def add_up(group: pa.Table) -> pa.Table:
         asked = [unpack_keys(k) for k in group.column("keys").to_pylist()]
@@ -237,10 +254,10 @@ def ngram_counts(table: DataFrame, parts: int, order: int) -> DataFrame:
         answers = [pack(a) for a in np.split(total, ends)]
         n = [p // parts for p in group.column("part").to_pylist()]
         part = [p % parts for p in group.column("part").to_pylist()]
-        return pa.table({"chunk": group.column("chunk"), "n": pa.array(n, pa.int32()), "part": pa.array(part, pa.int32()), "totals": pa.array(answers, pa.binary())})
+        return pa.table({"chunk": group.column("chunk"), "n": pa.array(n, pa.int32()), "part": pa.array(part, pa.int64()), "totals": pa.array(answers, pa.binary())})
 
-    asked = table.mapInArrow(emit, "part int, chunk long, keys binary, counts binary")
-    return asked.groupBy("part").applyInArrow(add_up, "chunk long, n int, part int, totals binary")
+    asked = table.mapInArrow(emit, "part long, chunk long, keys binary, counts binary").repartition(_tasks(table, GROUPS), "part")
+    return asked.groupBy("part").applyInArrow(add_up, "chunk long, n int, part long, totals binary")
 
 
 def _batch(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
@@ -248,65 +265,125 @@ def _batch(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.
 
 
 class Automaton:
-    """The arcs and failure arcs that one chunk can reach, laid out by token position.
+    """The states, arcs and failure arcs that the texts of one chunk can reach.
 
-    ``arc[n]`` holds the log probability of the n-gram that ends at a token (nan
-    where there is no such arc), ``fail[n]`` what the failure arc of the state
-    with n tokens before it carries.
+    State 0 is the root; every other state is a context of one token or more
+    that training texts hold.  ``codes`` (state and word, sorted), ``arc`` (log
+    probability) and ``to`` (state) are the arcs of seen n-grams; the root has
+    an arc for every word (``first``, ``first_to``).  ``fail`` and
+    ``fail_weight`` are the failure arc of each state.
     """
 
-    def __init__(self, c: Chunk, unigram: np.ndarray, ngrams: list[np.ndarray], n_tokens: int, n_types: int, n_docs: int, mu: float):
-        self.chunk, self.order = c, len(ngrams) + 1
-        count = unigram[c.tokens]
-        p = (count + 1) / (n_tokens + n_types + 1)
-        self.known, self.base = count > 0, np.log10(p)
-        self.arc, self.fail = [None, self.base], [None]
-        place = np.arange(len(c.tokens)) - np.repeat(c.starts, c.sizes)
-        context = np.empty_like(count)
-        for n, found in enumerate(ngrams, 2):
-            # the context is the n-gram of one order less that ends at the token before
-            shorter = count if n == 2 else ngrams[n - 3]
-            context = np.concatenate([[0], shorter[:-1]])
-            context[place == 0] = n_docs if n == 2 else 0
-            if n > 2:
-                context[place < n - 2] = 0
-            found = np.where(context > 0, found, 0)
-            p = (found + mu * p) / (context + mu)
-            self.arc.append(np.where(found > 0, np.log10(p), np.nan))
-            self.fail.append(np.log10(mu / (context + mu)))
-
-    def scores(self) -> np.ndarray:
-        """Log probability of every document: all of them take their t-th step together."""
-        sizes, starts, order = self.chunk.sizes, self.chunk.starts, self.order
-        by_size = np.argsort(-sizes, kind="stable")
-        at, left = starts[by_size].copy(), sizes[by_size]
-        state = np.full(len(sizes), 1 if order > 1 else 0)  # tokens of context that the state stands for
-        total = np.zeros(len(sizes))
-        running = np.searchsorted(-left, -np.arange(int(left.max(initial=0))), side="left")
-        for active in running.tolist():
-            here, s = at[:active], state[:active]
-            todo = np.ones(active, bool)
-            for n in range(order, 0, -1):
-                step = self.arc[n][here]
-                takes = todo & (s == n - 1) & ~np.isnan(step)
-                total[:active][takes] += step[takes]
-                falls = todo & (s == n - 1) & ~takes
-                if n > 1:
-                    total[:active][falls] += self.fail[n - 1][here[falls]]
-                    s[falls] -= 1
-                todo &= ~takes
-                s[takes] = min(n, order - 1) + 8  # not looked at again in this step
-            s -= 8
-            at[:active] += 1
-        out = np.empty(len(sizes))
-        out[by_size] = total
+    def __init__(self, c: Chunk, unigram: np.ndarray, ngrams: list[tuple[np.ndarray, np.ndarray]], n_tokens: int, n_types: int, mus: tuple[float, ...]):
+        self.order = len(ngrams) + 1
+        tokens, end = c.tokens, c.words.index(END)
+        n_docs = int(unigram[end])  # every training document has one end
+        self.known = unigram > 0
+        p = (unigram + 1) / (n_tokens + n_types + 1)
+        self.first = np.log10(p)
+        # state of each context: by word, then by distinct n-gram of the chunk; -1 where training texts lack it
+        count, at = unigram, tokens
+        states = np.full(len(unigram), -1)
+        if self.order > 1:
+            self.start = 1
+            seen = self.known.copy()
+            seen[end] = False
+            states[seen] = np.arange(2, 2 + seen.sum())
+        else:
+            self.start = 0
+        self.first_to = np.maximum(states, 0)
+        longest = self.first_to[tokens]  # of what ends at each token, the longest state so far
+        total = 2 + int((states >= 0).sum()) if self.order > 1 else 1
+        fail, fail_count = [np.zeros(total, np.int64)], [np.concatenate([[0, n_docs][: 1 + self.start], count[states >= 0]])]
+        fail_mu = [np.full(total, mus[0])]
+        codes, arcs, to = [], [], []
+        place = np.arange(len(tokens)) - np.repeat(c.starts, c.sizes)
+        for n, (count_n, at_n) in enumerate(ngrams, 2):
+            rep = np.empty(len(count_n), np.int64)
+            rep[at_n[::-1]] = np.arange(len(at_n))[::-1]  # the first place of each
+            seen = (count_n > 0) & (place[rep] >= n - 2)
+            own = rep[seen]
+            before = np.where(place[own] == 0, -1, states[at[own - 1]])
+            before_count = np.where(place[own] == 0, n_docs, count[at[own - 1]])
+            before = np.where((n == 2) & (place[own] == 0), self.start, before)
+            p_n, mu = np.zeros(len(count_n)), mus[min(n - 2, len(mus) - 1)]
+            p_n[seen] = (count_n[seen] + mu * p[at[own]]) / (before_count + mu)
+            new = np.full(len(count_n), -1)
+            if n < self.order:
+                inner = seen.copy()
+                inner[seen] = tokens[own] != end
+                new[inner] = np.arange(total, total + inner.sum())
+                total += int(inner.sum())
+                fail.append(longest[rep[inner]])
+                fail_count.append(count_n[inner])
+                fail_mu.append(np.full(len(fail_count[-1]), mus[min(n - 1, len(mus) - 1)]))
+                longest = np.where(new[at_n] >= 0, new[at_n], longest)
+            codes.append(before << 32 | tokens[own])
+            arcs.append(np.log10(p_n[seen]))
+            to.append((own, np.full(len(own), n)))
+            count, at, states, p = count_n, at_n, new, p_n
+        self.fail = np.concatenate(fail)
+        fail_mu = np.concatenate(fail_mu)
+        self.fail_weight = np.log10(fail_mu / (np.concatenate(fail_count) + fail_mu))
+        codes = np.concatenate(codes) if codes else np.zeros(0, np.int64)
+        by_code = np.argsort(codes)
+        self.codes = codes[by_code]
+        self.arc = (np.concatenate(arcs) if arcs else np.zeros(0))[by_code]
+        self.to = (longest[np.concatenate([own for own, _ in to])] if to else np.zeros(0, np.int64))[by_code]
+
+    def walk(self, tokens: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Log probability of every token: from left to right, all lanes take their t-th step together.
+
+        A lane is up to ``LANE`` tokens of one text.  The state after a token is
+        the longest state that the text so far ends in, and no state is longer
+        than ``order - 1`` tokens: a lane that begins inside a text gets its
+        state by reading as many tokens before it from the root.
+        """
+        out = np.empty(len(tokens))
+        lanes = -(-sizes // LANE)
+        doc = np.repeat(np.arange(len(sizes)), lanes)
+        number = np.arange(lanes.sum()) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        begin = starts[doc] + number * LANE
+        stop = np.minimum(begin + LANE, starts[doc] + sizes[doc])
+        warm = np.where(number > 0, min(self.order - 1, LANE), 0)
+        state = np.where(number > 0, 0, self.start)
+        longest_first = np.argsort(-(stop - begin + warm), kind="stable")
+        at, stop, state, begin = (begin - warm)[longest_first], stop[longest_first], state[longest_first], begin[longest_first]
+        while len(at) and at[0] < stop[0]:
+            n = int(np.searchsorted(at >= stop, True))  # lanes that go on: their steps left never grow from one to the next
+            at, stop, state, begin = at[:n], stop[:n], state[:n], begin[:n]
+            words = tokens[at]
+            total = np.zeros(n)
+            todo = np.flatnonzero(state)
+            final = np.zeros(n, np.int64)
+            rooted = [np.flatnonzero(state == 0)]
+            while len(todo):
+                code = state[todo] << 32 | words[todo]
+                found = np.searchsorted(self.codes, code)
+                found[found == len(self.codes)] = 0
+                takes = self.codes[found] == code if len(self.codes) else np.zeros(len(todo), bool)
+                hit = todo[takes]
+                total[hit] += self.arc[found[takes]]
+                final[hit] = self.to[found[takes]]
+                todo = todo[~takes]
+                total[todo] += self.fail_weight[state[todo]]
+                state[todo] = self.fail[state[todo]]
+                rooted.append(todo[state[todo] == 0])
+                todo = todo[state[todo] != 0]
+            root = np.concatenate(rooted)
+            total[root] += self.first[words[root]]
+            final[root] = self.first_to[words[root]]
+            counts = at >= begin
+            out[at[counts]] = total[counts]
+            state = final
+            at = at + 1
         return out
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, order: int = ORDER, mu: float = MU, parts: int | None = None) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, mu: float | tuple[float, ...] = MU, parts: int | None = None) -> DataFrame:
     """Score every document with the model learnt from those that are not held out.
 
     Returns ``doc_id``, ``held_out``, ``n_tokens``, ``n_known`` (tokens seen in
@@ -318,34 +395,48 @@ def score(docs: DataFrame, order: int = ORDER, mu: float = MU, parts: int | None
     read.
     """
     spark: SparkSession = docs.sparkSession
-    parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = chunks(docs)
-    words = cut(word_counts(table, parts), "lm-words")
+    mus = tuple(mu) if isinstance(mu, (tuple, list)) else (float(mu),)
+    out = scratch(spark, "lm")
+    table = chunks(docs, out)
+    # as many hash ranges as chunks: a range then holds about as many keys as one chunk asks for, at any size
+    parts = parts or max(1, table.count())
+    words = cut(word_counts(table, out, parts), "lm-words")
     n_tokens, n_types = (int(x or 0) for x in words.agg(F.sum("n_tokens"), F.sum("n_types")).first())
     answers = words.select("chunk", F.lit(1).alias("n"), "part", "totals")
     if order > 1:
-        answers = answers.unionByName(ngram_counts(table, parts, order))
-    # one answer per (chunk, order, hash range): as many as a chunk has asked for
-    answers = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("n", "part", "totals"))).alias("answers"))
+        answers = answers.unionByName(ngram_counts(table, out, parts, order))
+    answers = answers.repartition(_tasks(table, 1), "chunk").sortWithinPartitions("chunk", "n", "part")
+
+    def scored(chunk: int, totals: dict[int, list[np.ndarray]], fs, root: str) -> pa.RecordBatch:
+        c = Chunk.read(fs, path_of(root, chunk))
+        ngrams = []
+        for n, keys in enumerate(c.keys(order), 2):
+            ngrams.append((np.concatenate(totals[n]), np.unique(keys, return_inverse=True)[1]))
+        a = Automaton(c, np.concatenate(totals[1]), ngrams, n_tokens, n_types, mus)
+        del ngrams
+        base = np.add.reduceat(a.first[c.tokens], c.starts)
+        known = np.add.reduceat(a.known[c.tokens].astype(np.int64), c.starts)
+        total = np.add.reduceat(a.walk(c.tokens, c.starts, c.sizes), c.starts)
+        columns = [c.doc_ids, c.held, c.sizes, known, np.full(len(c.sizes), n_tokens), base, total]
+        types = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types)], names=[x.split(" ")[0] for x in SCORES.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = filesystem(out)
+        chunk, totals = None, {}
         for batch in batches:
-            for row in rows_of(batch):
-                c = Chunk(row)
-                totals: dict[int, list[np.ndarray]] = {n: [] for n in range(1, order + 1)}
-                for a in row["answers"]:
-                    totals[a["n"]].append(unpack(a["totals"]))
-                unigram = np.concatenate(totals[1])
-                n_docs = int(unigram[c.words.index(END)])  # every training document has one end
-                ngrams = []
-                for n, keys in enumerate(c.keys(order), 2):
-                    ngrams.append(np.concatenate(totals[n])[np.unique(keys, return_inverse=True)[1]])
-                a = Automaton(c, unigram, ngrams, n_tokens, n_types, n_docs, mu)
-                base = np.add.reduceat(a.base, c.starts)
-                known = np.add.reduceat(a.known.astype(np.int64), c.starts)
-                columns = [c.doc_ids, c.held, c.sizes, known, np.full(len(c.sizes), n_tokens), base, a.scores()]
-                types = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2]
-                names = [x.split(" ")[0] for x in SCORES.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types)], names=names)
-
-    return table.join(answers, "chunk").mapInArrow(run, SCORES)
+            for own, n, raw in zip(*(batch.column(k).to_pylist() for k in ("chunk", "n", "totals"))):
+                if own != chunk:
+                    if chunk is not None:
+                        yield scored(chunk, totals, fs, root)
+                    chunk, totals = own, {}
+                totals.setdefault(n, []).append(unpack(raw))
+        if chunk is not None:
+            yield scored(chunk, totals, fs, root)
+
+    return answers.mapInArrow(run, SCORES)
+
+
+def _tasks(table: DataFrame, per_chunk: int) -> int:
+    """Tasks for work that grows with the chunks, at least the session's number of shuffle partitions."""
+    return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), per_chunk * table.count())
