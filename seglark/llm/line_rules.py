@@ -1,12 +1,13 @@
 """Quality rules: text statistics and cross-document line frequency.
 
 Lines are normalised (lower case, runs of digits as 0, runs of white space as
-one blank) and hashed.  Per host, the documents that hold a line are counted;
-lines in more than ``max_docs`` documents of their host count as boilerplate
+one blank) and hashed.  Per host, the distinct documents that hold a line are
+counted; lines in more than ``max_docs`` documents of their host count as boilerplate
 and are removed, and documents of which too little is left are rejected.
 
 DataFrame functions only.  Counts are aggregated before they are shuffled, by
-(host, line): a host may hold any share of the rows.
+(host, line, document) and then (host, line): a host may hold any share of the
+rows.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, words_of
+from .common import SPACE, cut, let, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MAX_DOCS, LEAST_LEFT = 20, 0.3
+#: Parts in which a frequent line is joined.
+SALT = 16
 
 
 def lines_of(text: Column) -> Column:
@@ -49,44 +52,58 @@ def repeated_words(windows: Column, width: int = WINDOW) -> Column:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """``doc_id, host, text_hash`` and the statistics of each text; null texts have no words."""
+    """One row per document: ``row`` (a number), ``doc_id``, ``host``, statistics and its ``lines``.
+
+    ``lines`` holds each distinct normalised line once: its hash, its
+    characters and how often the text has it.  Null texts have no words.
+    """
     text = F.coalesce(docs["text"], F.lit(""))
-    own = docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("host"), F.xxhash64(text).alias("text_hash"), text.alias("text"), words_of(text).alias("words"), lines_of(text).alias("lines"))
+    own = docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("host"), text.alias("text"), words_of(text).alias("words"), lines_of(text).alias("lines"))
     windows = F.when(
         F.size("words") >= WINDOW,
         F.transform(F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("words", i, WINDOW))),
     ).otherwise(F.array().cast("array<bigint>"))
+    hashed = F.transform("lines", lambda x: let(normalised(x), lambda n: F.struct(F.xxhash64(n).alias("line"), F.length(n).alias("chars"))))
     own = own.select(
         "doc_id",
         "host",
-        "text_hash",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.regexp_replace("text", f"[{SYMBOLS}]+", ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.length(F.array_join(F.transform("lines", normalised), "")).cast("long").alias("line_chars"),
+        F.sort_array(hashed).alias("sorted"),
         windows.alias("windows"),
     )
-    return own.select("*", repeated_words(F.col("windows")).cast("long").alias("n_repeat_words")).drop("windows")
+    n = F.size("sorted")
+    first = F.filter(F.sequence(F.lit(0), n - 1), lambda k: (k == 0) | (F.get("sorted", k - 1)["line"] != F.get("sorted", k)["line"]))
+    first = F.when(n > 0, first).otherwise(F.array().cast("array<int>"))
 
+    def counted(at: Column) -> Column:
+        return F.transform(at, lambda k, i: F.struct(F.get("sorted", k)["line"].alias("line"), F.get("sorted", k)["chars"].alias("chars"), (F.coalesce(F.get(at, i + 1), n) - k).alias("times")))
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """One row per line: ``doc_id, host, text_hash, at, line`` (hash), ``chars`` and whether it is the document's first of its kind."""
-    text = F.coalesce(docs["text"], F.lit(""))
-
-    def hashed(x: Column, i: Column) -> Column:
-        return let(normalised(x), lambda n: F.struct(F.xxhash64(n).alias("line"), i.alias("at"), F.length(n).alias("chars")))
+    return own.select(
+        F.monotonically_increasing_id().alias("row"),
+        "doc_id",
+        "host",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        repeated_words(F.col("windows")).cast("long").alias("n_repeat_words"),
+        F.aggregate("sorted", F.lit(0).cast("long"), lambda a, x: a + x["chars"]).alias("line_chars"),
+        let(first, counted).alias("lines"),
+    )
 
-    lines = F.sort_array(F.transform(lines_of(text), hashed))
-    marked = let(lines, lambda s: F.transform(s, lambda x, i: F.struct(x["line"].alias("line"), x["at"].alias("at"), x["chars"].alias("chars"), ((i == 0) | (s[F.greatest(i - 1, F.lit(0))]["line"] != x["line"])).alias("first"))))
-    own = docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("host"), F.xxhash64(text).alias("text_hash"), F.explode(marked).alias("l"))
-    return own.select("doc_id", "host", "text_hash", "l.*")
 
+def frequent_lines(lines: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """``host, line`` of ``lines (doc_id, host, line)`` that more than ``max_docs`` distinct documents of their host hold.
 
-def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """``host, line, n_docs`` of lines in more than ``max_docs`` documents of their host."""
-    counted = line_table(docs).filter("first").groupBy("host", "line").agg(F.count("*").alias("n_docs"))
-    return counted.filter(F.col("n_docs") > max_docs)
+    Rows that share a ``doc_id`` are one document, and so are rows without
+    one.  Pairs of line and document are made distinct first, each by its own
+    hash; a line of any frequency then is one row per task.
+    """
+    counted = lines.groupBy("host", "line").agg(F.count_distinct(F.struct("doc_id")).alias("n_docs"))
+    return counted.filter(F.col("n_docs") > max_docs).select("host", "line")
 
 
 def judge(docs: DataFrame, max_docs: int = MAX_DOCS, least_left: float = LEAST_LEFT) -> DataFrame:
@@ -98,22 +115,22 @@ def judge(docs: DataFrame, max_docs: int = MAX_DOCS, least_left: float = LEAST_L
     repeated five-word windows.  ``kept``: not failed, and at least
     ``least_left`` of the characters of its (normalised) lines stay when the
     frequent ones are removed.  Rows without a source share one host; null and
-    empty texts have no words and fail; repeated rows count as documents each
-    and get the same verdict; an empty table gives an empty result; columns
-    other than ``doc_id, source, text`` are not read.
+    empty texts have no words and fail; rows that share a ``doc_id`` count as
+    one document (so do those without) and each get a verdict; an empty table
+    gives an empty result; columns other than ``doc_id, source, text`` are not
+    read.
+
+    Texts are read once: statistics and line hashes go to a table of the shared
+    folder.  A frequent line is joined in ``SALT`` parts, so that none brings
+    all its documents to one task.
     """
-    often = frequent_lines(docs, max_docs).select(F.col("host").alias("h"), F.col("line").alias("l"))
-    lines = line_table(docs).drop("first")
-    hit = lines.join(often, lines["host"].eqNullSafe(often["h"]) & (lines["line"] == often["l"]), "left_semi")
-    # equal rows have equal lines at equal places: each is removed once
-    hit = hit.select("doc_id", "host", "text_hash", "at", "chars").distinct()
-    removed = hit.groupBy("doc_id", "host", "text_hash").agg(F.count("*").alias("removed_lines"), F.sum("chars").alias("removed_chars"))
-    removed = removed.select(F.col("doc_id").alias("d"), F.col("host").alias("h"), F.col("text_hash").alias("t"), "removed_lines", "removed_chars")
-    own = statistics(docs)
-    same = own["doc_id"].eqNullSafe(removed["d"]) & own["host"].eqNullSafe(removed["h"]) & (own["text_hash"] == removed["t"])
-    own = own.join(removed, same, "left")
-    zero = F.lit(0).cast("long")
-    own = own.withColumn("removed_lines", F.coalesce("removed_lines", zero)).withColumn("removed_chars", F.coalesce("removed_chars", zero).cast("long"))
+    table = cut(statistics(docs), "line-statistics")
+    lines = table.select("row", "doc_id", "host", F.explode("lines").alias("l")).select("row", "doc_id", "host", "l.*")
+    often = frequent_lines(lines, max_docs).select(F.col("host").alias("h"), F.col("line").alias("l"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("s"))
+    lines = lines.select("row", "host", "line", "chars", "times", F.pmod("row", F.lit(SALT)).cast("int").alias("salt"))
+    hit = lines.join(often, lines["host"].eqNullSafe(often["h"]) & (lines["line"] == often["l"]) & (lines["salt"] == often["s"]), "left_semi")
+    removed = hit.groupBy("row").agg(F.sum("times").cast("long").alias("removed_lines"), F.sum(F.col("chars") * F.col("times")).cast("long").alias("removed_chars"))
+    own = table.drop("lines").join(removed, "row", "left").fillna(0, ["removed_lines", "removed_chars"])
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     left = F.col("line_chars") - F.col("removed_chars") >= F.lit(least_left) * F.col("line_chars")
     return own.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "removed_lines", "removed_chars", (~failed & left).alias("kept"))
@@ -137,7 +154,7 @@ WITH d AS (
   SELECT doc_id, source, trim(regexp_replace(regexp_replace(lower(x), '[0-9]+', '0', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS line
   FROM (SELECT doc_id, source, unnest(lines) AS x FROM d)
 ), often AS (
-  SELECT source, line FROM lines GROUP BY source, line HAVING count(DISTINCT doc_id) > {MAX_DOCS}
+  SELECT source, line FROM lines GROUP BY source, line HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) > {MAX_DOCS}
 ), removed AS (
   SELECT l.doc_id, count(*) FILTER (o.line IS NOT NULL) AS removed_lines,
          coalesce(sum(length(l.line)) FILTER (o.line IS NOT NULL), 0) AS removed_chars, sum(length(l.line)) AS line_chars
