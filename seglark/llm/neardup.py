@@ -8,13 +8,24 @@ are candidates.  Such pairs share at least one of the ``coordinates - matches
 + 1`` rarest pairs of each, so only that prefix is posted, and values that no
 other class has are skipped altogether.
 
-A posting list is searched for a spanning forest of its candidate pairs
-instead of all of them: from each class on, agreement is counted with the
-classes not reached yet.  The forests give groups that no candidate pair
-leaves; in a group the same search runs over the full shingle sets with the
-exact similarity, and its links give the result.  Lists and groups over a
-fixed size are cut in blocks and searched block pair by block pair, so that no
-task holds more than two blocks and no link is lost.
+Collisions of a class of a list are counted by merging its posting lists in
+that list: the short ones are merged, the ``matches - 1`` longest ones are
+skipped and only asked for those classes that the short ones hold.  A spanning
+forest of the candidate pairs is kept instead of all of them.
+
+A list of more than ``list_block`` classes is not searched but refined.  All
+its classes are compared with one of them, the pivot.  Where that links them
+all, the list is done; else each class is posted again under the next pairs of
+its prefix, in lists of classes that share both pairs, then three, and so on:
+a pair that collides ``matches`` times stays together at every depth, and at
+depth ``matches`` all classes of a list agree with the pivot.
+
+The forests give groups that no candidate pair leaves; in a group the same
+search runs over the full shingle sets with the exact similarity, and its
+links give the result.  Groups over a fixed size are cut in blocks, each of
+which is searched together with the group's first class; classes that the
+first one doesn't link to (few, in groups of near copies) are then compared
+with all blocks.
 
 At the default 32 coordinates, 16 matches miss a pair of similarity 0.85 with
 probability 6e-7, and 14 matches one of similarity 0.8 with 1e-6.
@@ -34,11 +45,11 @@ from pyspark.sql import functions as F
 
 from .bpe import text_batches, tidy
 from .common import cut
-from .components import components
+from .components import SALT, components, with_totals
 from .lm import extend
 
 COORDINATES = 32
-#: Classes of a block of a posting list, and classes and characters of a block of a group.
+#: Classes of a posting list that is searched as it is, and classes and characters of a block of a group.
 LIST_BLOCK, GROUP_BLOCK, GROUP_CHARS = 1024, 1024, 8_000_000
 MAX_WORDS = 300_000
 #: Classes in a posting list from which on its count is kept apart.
@@ -198,66 +209,124 @@ def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
 
-def in_blocks(df: DataFrame, key: str, block: F.Column, blocks: F.Column) -> DataFrame:
-    """Each row once per pair of blocks that its block is in; rows of one block stay one row."""
-    df = df.withColumn("_n", blocks).withColumn("_b", block)
-    df = df.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    df = df.withColumn("cell", F.least("_b", "_o") * F.col("_n") + F.greatest("_b", "_o"))
-    return df.drop("_n", "_b", "_o")
+def with_count(rows: DataFrame, hot: int = HOT_LIST) -> DataFrame:
+    """``rows (node, key)`` with ``df``, the number of rows of their key, without those that are alone in theirs.
 
-
-def with_count(rows: DataFrame, name: str, hot: int = HOT_LIST) -> DataFrame:
-    """``rows (node, key)`` with the number of rows of their key, without those that are alone in theirs.
-
-    Keys of more than ``hot`` rows are few.  Their counts are a table of their
-    own, which Spark broadcasts if its written size allows; the rows of these
-    keys then stay where they are instead of meeting in one task each.
+    Most keys are alone, so their counts are filtered before the join.  Keys of
+    more than ``hot`` rows are joined in ``SALT`` parts.
     """
-    counts = cut(rows.groupBy("key").agg(F.count("*").alias(name)).filter(F.col(name) > 1), "dup-counts")
-    heavy = cut(counts.filter(F.col(name) > hot), "dup-heavy")
-    light = rows.join(heavy.select("key"), "key", "left_anti").join(counts.filter(F.col(name) <= hot), "key")
-    return light.unionByName(rows.join(heavy, "key"))
-
-
-def candidate_links(reps: DataFrame, coordinates: int, matches: int, list_block: int = LIST_BLOCK) -> DataFrame:
-    """A spanning forest, list by list, of the pairs of ``reps (node, sig)`` that agree on ``matches`` coordinates."""
-    n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    posted = reps.select("node", F.posexplode("sig").alias("k", "value"))
-    posted = posted.select("node", (F.shiftleft(F.col("k").cast("long"), 32) + F.col("value").cast("long") + (1 << 31)).alias("key"))
-    posted = with_count(posted, "df")
-    # Of a class's pairs, rarest first, those up to place coordinates - matches + 1 are its prefix;
-    # pairs that it shares with no class come first of all and are not posted.
-    own = F.sort_array(F.collect_list(F.struct("df", "key")))  # at most one per coordinate
-    prefix = posted.groupBy("node").agg(own.alias("own")).filter(F.size("own") >= matches)
-    prefix = prefix.select("node", F.explode(F.slice("own", 1, F.size("own") - (matches - 1))).alias("p")).select("node", "p.key")
-    rows = with_count(cut(prefix, "dup-prefix"), "m").join(reps.select("node", "sig"), "node")
-    blocks = F.ceil(F.col("m") / list_block).cast("int")
-    rows = in_blocks(rows, "key", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / list_block)).cast("int"), blocks)
-    rows = rows.select("key", "cell", "node", "sig").repartition(n, "key", "cell").sortWithinPartitions("key", "cell", "node")
+    counts = cut(rows.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1"), "dup-counts")
+    heavy = cut(counts.filter(F.col("df") > hot).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), "dup-heavy")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALT)).cast("int"))
+    light = salted.join(heavy.select("key", "salt"), ["key", "salt"], "left_anti").drop("salt").join(counts.filter(F.col("df") <= hot), "key")
+    return light.unionByName(salted.join(heavy, ["key", "salt"]).drop("salt"))
+
+
+class Postings:
+    """Posting lists of some signatures: for each coordinate, the rows by value."""
+
+    def __init__(self, sig: np.ndarray, matches: int):
+        n, self.coordinates = sig.shape
+        self.sig, self.matches = sig, matches
+        self.order = np.argsort(sig, axis=0, kind="stable")
+        ordered = np.take_along_axis(sig, self.order, 0)
+        new = np.ones((n + 1, self.coordinates), bool)
+        new[1:-1] = ordered[1:] != ordered[:-1]
+        place = np.arange(n + 1)[:, None]
+        begin = np.maximum.accumulate(np.where(new, place, 0), 0)[:-1]
+        stop = np.minimum.accumulate(np.where(new, place, n)[::-1], 0)[::-1][1:]
+        # of each row and coordinate, where the list of its value begins and ends
+        self.begin, self.stop = np.empty((n, self.coordinates), np.int64), np.empty((n, self.coordinates), np.int64)
+        np.put_along_axis(self.begin, self.order, begin, 0)
+        np.put_along_axis(self.stop, self.order, stop, 0)
+
+    def agrees(self, i: int, left: np.ndarray) -> np.ndarray:
+        """Which rows of ``left`` collide with row i ``matches`` times or more."""
+        by_size = np.argsort(self.stop[i] - self.begin[i], kind="stable")
+        short, long = by_size[: self.coordinates - self.matches + 1], by_size[self.coordinates - self.matches + 1 :]
+        times = np.bincount(np.concatenate([self.order[self.begin[i, k] : self.stop[i, k], k] for k in short]), minlength=len(self.sig))
+        found = left[times[left] > 0]
+        total = times[found] + (self.sig[found][:, long] == self.sig[i, long]).sum(1)
+        linked = np.zeros(len(self.sig), bool)
+        linked[found[total >= self.matches]] = True
+        return linked[left]
+
+
+def search_lists(rows: DataFrame, coordinates: int, matches: int) -> DataFrame:
+    """A spanning forest, list by list, of the pairs of ``rows (list, node, sig)`` that collide ``matches`` times."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("list", "node", "sig").repartition(n, "list").sortWithinPartitions("list", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in grouped(batches, ["key", "cell"]):
+        for table in grouped(batches, ["list"]):
             sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(table.num_rows, coordinates)
             node = table.column("node").to_numpy()
-            at = bounds_of(table, ["key", "cell"])
+            at = bounds_of(table, ["list"])
             sizes = np.diff(at)
             two = at[:-1][sizes == 2]
             two = two[(sig[two] == sig[two + 1]).sum(1) >= matches]
             out = list(zip(node[two].tolist(), node[two + 1].tolist()))
             for begin, size in zip(at[:-1][sizes > 2], sizes[sizes > 2]):
-                own = sig[begin : begin + size]
-                out += [(node[begin + i], node[begin + j]) for i, j in spanning(size, lambda i, left: (own[left] == own[i]).sum(1) >= matches)]
+                lists = Postings(sig[begin : begin + size], matches)
+                out += [(node[begin + i], node[begin + j]) for i, j in spanning(size, lists.agrees)]
             yield _links(out)
 
-    return rows.mapInArrow(tidy(run), LINKS).distinct()
+    return rows.mapInArrow(tidy(run), LINKS)
 
 
-def similar(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs with 100 * intersection >= percent * union."""
+def candidate_links(reps: DataFrame, coordinates: int, matches: int, list_block: int = LIST_BLOCK) -> DataFrame:
+    """Links of ``reps (node, sig)``, all between classes that agree on ``matches`` coordinates, that connect all such pairs."""
+    posted = reps.select("node", F.posexplode("sig").alias("k", "value"))
+    posted = posted.select("node", (F.shiftleft(F.col("k").cast("long"), 32) + F.col("value").cast("long") + (1 << 31)).alias("key"))
+    # Of a class's pairs, rarest first, those up to place coordinates - matches + 1 are its prefix;
+    # pairs that it shares with no class come first of all and are not posted.
+    own = F.sort_array(F.collect_list(F.struct("df", "key")))  # at most one per coordinate
+    nodes = with_count(posted).groupBy("node").agg(own.alias("own")).filter(F.size("own") >= matches)
+    nodes = nodes.select("node", F.transform("own", lambda p: p["key"]).alias("keys"))
+    nodes = cut(nodes.join(reps.select("node", "sig"), "node"), "dup-nodes")
+    rows = nodes.select("node", F.posexplode(F.slice("keys", 1, F.size("keys") - (matches - 1))).alias("at", "list")).withColumn("label", F.col("node"))
+    links = None
+    for depth in range(1, matches + 1):
+        # of each list: its size, and whether it holds classes that aren't linked yet
+        rows = cut(with_totals(rows.withColumn("one", F.lit(1)), "list", "node", m=("sum", "one"), low=("min", "label"), high=("max", "label")).filter("low < high").drop("one", "low", "high"), "dup-lists")
+        found = search_lists(rows.filter(F.col("m") <= list_block).join(nodes.select("node", "sig"), "node"), coordinates, matches)
+        links = found if links is None else links.unionByName(found)
+        big = rows.filter(F.col("m") > list_block).drop("m")
+        if big.isEmpty():
+            break
+        more, rows = refine(big, nodes, matches, depth)
+        links = links.unionByName(more)
+    return links.distinct()
+
+
+def refine(big: DataFrame, nodes: DataFrame, matches: int, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Links of each list's classes with its pivot, and the lists of the next depth.
+
+    ``label`` is the last pivot that a class was linked with (itself before):
+    classes of one label are connected.  A class without a link is taken as
+    pivot before others.
+    """
+    order = F.struct((F.col("label") != F.col("node")).alias("linked"), F.xxhash64("list", "node").alias("hash"), F.col("node").alias("pivot"))
+    pivots = big.groupBy("list").agg(F.min(order).alias("p")).select("list", "p.pivot")
+    pivots = pivots.join(nodes.select(F.col("node").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salted = big.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALT)).cast("int"))
+    both = salted.join(pivots, ["list", "salt"]).join(nodes, "node")
+    same = F.aggregate(F.zip_with("sig", "pivot_sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, x: a + x)
+    both = cut(both.withColumn("linked", same >= matches).drop("sig", "pivot_sig", "salt"), "dup-pivots")
+    links = both.filter("linked and node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    open_ = both.withColumn("label", F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("label")))
+    open_ = with_totals(open_, "list", "node", low=("min", "label"), high=("max", "label")).filter("low < high")
+    rest = F.slice("keys", F.col("at") + 2, F.greatest(F.size("keys") - F.col("at") - 1 - (matches - depth - 1), F.lit(0)))
+    following = open_.select("node", "label", "list", "at", F.posexplode(rest).alias("more", "key"))
+    return links, following.select("node", (F.col("at") + 1 + F.col("more")).alias("at"), F.xxhash64("list", "key").alias("list"), "label")
+
+
+def similarity(sets: list[np.ndarray], percent: int) -> Callable[[int, np.ndarray], np.ndarray]:
+    """For row i and others, which have 100 * intersection >= percent * union: by posting lists of the shingles."""
     sizes = np.array([len(s) for s in sets])
     if len(sets) == 2:
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(0, 1)] if 100 * both >= percent * (sizes.sum() - both) else []
+        return lambda i, left: np.full(len(left), 100 * both >= percent * (sizes.sum() - both))
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(ids, kind="stable")
@@ -272,7 +341,7 @@ def similar(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         both = np.bincount(holders[where], minlength=len(sets))[left]
         return 100 * both >= percent * (sizes[i] + sizes[left] - both)
 
-    return spanning(len(sets), agrees)
+    return agrees
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, coordinates: int = COORDINATES, matches: int | None = None, list_block: int = LIST_BLOCK, group_block: int = GROUP_BLOCK, group_chars: int = GROUP_CHARS) -> DataFrame:
@@ -306,43 +375,78 @@ def _labelled(docs: DataFrame, width: int, percent: int, coordinates: int = COOR
     groups = components(candidate_links(reps, coordinates, matches, list_block))
     groups = cut(groups, "dup-groups")
 
-    sizes = groups.join(reps.select("node", "rep.n_chars"), "node").groupBy("root").agg(F.count("*").alias("m"), F.sum("n_chars").alias("chars"))
-    members = groups.join(reps.select("node", "digest", "rep"), "node").join(sizes, "root")
+    members = groups.join(reps.select("node", "digest", "rep"), "node")
+    members = members.withColumn("one", F.lit(1)).withColumn("size", F.col("rep.n_chars"))
+    members = with_totals(members, "root", "node", m=("sum", "one"), chars=("sum", "size"))
     blocks = F.greatest(F.ceil(F.col("m") / group_block), F.least(F.col("m"), F.ceil(F.col("chars") / group_chars))).cast("int")
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("text_hash"), docs["text"].alias("text"))
     wanted = members.select("root", "node", "digest", blocks.alias("blocks"), F.col("rep.doc_id").alias("id"), F.col("rep.text_hash").alias("hash"))
-    same = texts["doc_id"].eqNullSafe(wanted["id"]) & (texts["text_hash"] == wanted["hash"])
-    rows = texts.join(wanted, same).select("root", "node", "digest", "blocks", "text")
-    rows = in_blocks(rows, "root", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.col("blocks"))
-    rows = rows.select("root", "cell", "node", "digest", "text").repartition(n, "root", "cell").sortWithinPartitions("root", "cell", "node")
+    wanted = cut(wanted.withColumn("cell", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "dup-wanted")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+
+    def search(own: DataFrame, guests: DataFrame, only_guests: bool) -> DataFrame:
+        asked = own.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
+        same = texts["doc_id"].eqNullSafe(asked["id"]) & (texts["text_hash"] == asked["hash"])
+        return _searched(texts.join(asked, same), width, percent, n, only_guests)
+
+    # in every block of a group: its own classes, and as a guest the group's first class
+    found = search(wanted.filter("blocks = 1 or node <> root"), wanted.filter("blocks > 1 and node = root").withColumn("cell", every), False)
+    found = cut(found, "dup-first")
+    links = found.filter("b is not null")
+    # classes that the first one doesn't link to are guests in all other blocks
+    left = cut(wanted.join(found.filter("b is null").select(F.col("a").alias("node")), "node", "left_semi"), "dup-left")
+    if not left.isEmpty():
+        guests = left.withColumn("home", F.col("cell")).withColumn("cell", every).filter("cell <> home").drop("home")
+        links = links.unionByName(search(wanted.join(left.select("root").distinct(), "root", "left_semi"), guests, True))
+    found = components(links)
+    ids = reps.select("node", "digest", "first_id").join(found, "node", "left")
+    least = ids.filter("root is not null").groupBy("root").agg(F.min("first_id").alias("least"))
+    alone = F.col("root").isNull()
+    ids = ids.join(least, "root", "left").select("digest", F.coalesce("root", "node").alias("component"), F.when(alone, F.col("first_id")).otherwise(F.col("least")).alias("label"))
+    result = table.select("doc_id", "text_hash", "n_shingles", "digest").join(ids, "digest", "left")
+    label = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("label"))
+    return result.select("doc_id", "text_hash", "n_shingles", label.alias("component_id"), F.col("doc_id").eqNullSafe(label).alias("kept"), "component")
+
+
+def _searched(rows: DataFrame, width: int, percent: int, n: int, only_guests: bool) -> DataFrame:
+    """Links that connect the similar classes of each cell of ``rows (root, cell, guest, node, digest, text)``.
+
+    With ``only_guests``, pairs of a guest and another class; else all pairs,
+    and also, as links to null, the classes that aren't similar to the guest.
+    """
+    rows = rows.select("root", "cell", "guest", "node", "digest", "text").repartition(n, "root", "cell").sortWithinPartitions("root", "cell", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for table in grouped(batches, ["root", "cell"]):
             at = bounds_of(table, ["root", "cell"])
             out: list[tuple[int, int]] = []
+            alone: list[int] = []
             for begin, end in zip(at[:-1].tolist(), at[1:].tolist()):
                 part = table.slice(begin, end - begin)
-                own = {}
-                for _, texts_ in text_batches(part.column("text").combine_chunks()):
-                    for s in shingler.sets(texts_):
-                        own[len(own)] = s
-                nodes, digests = part.column("node").to_pylist(), part.column("digest").to_pylist()
+                own = [s for _, texts in text_batches(part.column("text").combine_chunks()) for s in shingler.sets(texts)]
+                nodes, digests, guests = (part.column(c).to_pylist() for c in ("node", "digest", "guest"))
                 # one text per class, and only where it is the class's own
-                seen = {node: own[k] for k, (node, d) in enumerate(zip(nodes, digests)) if digest(own[k]) == d}
-                if len(seen) > 1:
-                    names = list(seen)
-                    out += [(names[i], names[j]) for i, j in similar(list(seen.values()), percent)]
-            yield _links(out)
-
-    found = components(rows.mapInArrow(tidy(run), LINKS))
-    ids = reps.select("node", "digest", "first_id").join(found, "node", "left")
-    least = ids.filter("root is not null").groupBy("root").agg(F.min("first_id").alias("least"))
-    alone = F.col("root").isNull()
-    ids = ids.join(least, "root", "left").select("digest", F.coalesce("root", "node").alias("component"), F.when(alone, F.col("first_id")).otherwise(F.col("least")).alias("label"))
-    result = table.select("doc_id", "text_hash", "n_shingles", "digest").join(ids, "digest", "left")
-    label = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("label"))
-    return result.select("doc_id", "text_hash", "n_shingles", label.alias("component_id"), F.col("doc_id").eqNullSafe(label).alias("kept"), "component")
+                seen = {node: (own[k], guests[k]) for k, (node, d) in enumerate(zip(nodes, digests)) if digest(own[k]) == d}
+                if len(seen) < 2:
+                    continue
+                names, sets, guest = list(seen), [x for x, _ in seen.values()], np.array([g for _, g in seen.values()])
+                if only_guests and not guest.any():
+                    continue
+                agrees = similarity(sets, percent)
+                if only_guests:
+                    out += [(names[i], names[j]) for i, j in spanning(len(names), lambda i, left: agrees(i, left) & (guest[i] | guest[left]))]
+                else:
+                    out += [(names[i], names[j]) for i, j in spanning(len(names), agrees)]
+                    if guest.any():
+                        others = np.flatnonzero(~guest)
+                        alone += [names[j] for j in others[~agrees(int(guest.argmax()), others)]]
+            ends = _links(out)
+            yield ends
+            if alone:
+                yield pa.RecordBatch.from_arrays([pa.array(alone, pa.int64()), pa.nulls(len(alone), pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(tidy(run), LINKS)
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

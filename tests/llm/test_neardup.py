@@ -101,3 +101,51 @@ def test_connected_components(spark):
                 seen.add(x)
                 todo.append(x)
         assert got[start] == min(seen)
+
+
+def test_collisions_by_merging():
+    rng = np.random.default_rng(4)
+    for n, values, coordinates, matches in ((3, 2, 4, 2), (40, 3, 8, 5), (40, 50, 8, 1), (60, 2, 16, 16), (5, 1, 4, 4)):
+        sig = rng.integers(0, values, (n, coordinates)).astype(np.int32)
+        lists = neardup.Postings(sig, matches)
+        for i in range(n):
+            left = rng.permutation(n)[: n // 2 + 1]
+            assert (lists.agrees(i, left) == ((sig[left] == sig[i]).sum(1) >= matches)).all()
+
+
+def test_a_common_value_is_refined(spark):
+    """Lists of classes that share one value, two clusters that share another: links as by hand, no list searched above its size."""
+    rng = np.random.default_rng(6)
+    sig = rng.integers(10, 1 << 30, (120, 6)).astype(np.int32)
+    sig[:, 0] = 1
+    sig[:40, 1:5] = [2, 3, 4, 5]
+    sig[40:80, 2:] = [6, 7, 8, 9]
+    sig[20:60, 1] = 2
+    for i in range(80):
+        sig[i, rng.integers(1, 6)] = 1000 + i
+    reps = spark.createDataFrame([(i, [int(x) for x in row]) for i, row in enumerate(sig)], "node long, sig array<int>")
+    searched = []
+    original = neardup.search_lists
+
+    def watched(rows, coordinates, matches):
+        searched.append(rows.groupBy("list").count().agg({"count": "max"}).first()[0] or 0)
+        return original(rows, coordinates, matches)
+
+    neardup.search_lists = watched
+    try:
+        links = neardup.candidate_links(reps, 6, 3, list_block=10).collect()
+    finally:
+        neardup.search_lists = original
+    assert len(searched) > 1 and max(searched) <= 10
+    root = list(range(120))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    expected = [(i, j) for i in range(120) for j in range(i) if (sig[i] == sig[j]).sum() >= 3]
+    assert all((sig[a] == sig[b]).sum() >= 3 for a, b in links)
+    for a, b in links:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    assert all(find(i) == find(j) for i, j in expected)
