@@ -37,7 +37,7 @@ from .common import cut, scratch
 from .shards import filesystem
 
 #: Tokens of a chunk; what a task holds at a time grows with this and not with the corpus.
-CHUNK_TOKENS = 2_500_000
+CHUNK_TOKENS = 2_000_000
 #: Tasks that add up counts, by chunk.
 GROUPS = 2
 #: Tokens that are read one after the other; all such stretches of a chunk are read side by side.
@@ -106,7 +106,7 @@ class Chunk:
         self.doc_ids = parts["doc_ids"][0]
         self.held = np.frombuffer(parts["held"][0], bool)
         self.sizes = np.frombuffer(parts["sizes"][0], "<i8")
-        self.tokens = np.frombuffer(parts["tokens"][0], "<u4").astype(np.int64)
+        self.tokens = np.frombuffer(parts["tokens"][0], "<i4")
         self.words = parts["words"][0].split(b"\n")
         self.hash = hashes(self.words)
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -114,7 +114,7 @@ class Chunk:
 
     @staticmethod
     def stored(doc_ids: list[int | None], held: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, words: list[bytes]) -> bytes:
-        row = (doc_ids, held.tobytes(), sizes.astype("<i8").tobytes(), tokens.astype("<u4").tobytes(), b"\n".join(words))
+        row = (doc_ids, held.tobytes(), sizes.astype("<i8").tobytes(), tokens.astype("<i4").tobytes(), b"\n".join(words))
         batch = _batch([row], [pa.list_(pa.int64()), *[pa.large_binary()] * 4], ["doc_ids", "held", "sizes", "tokens", "words"])
         stream = pa.BufferOutputStream()
         with pa.ipc.new_stream(stream, batch.schema) as out:
@@ -127,23 +127,33 @@ class Chunk:
         with fs.open_input_file(path) as f:
             return cls(f.read())
 
-    def keys(self, order: int) -> list[np.ndarray]:
+    def place(self) -> np.ndarray:
+        """The number of each token in its text."""
+        return np.arange(len(self.tokens), dtype=np.int32) - np.repeat(self.starts, self.sizes).astype(np.int32)
+
+    def keys(self, order: int) -> Iterator[np.ndarray]:
         """For orders 2 and up, the key of the n-gram that ends at each token; 0 where the text is too short."""
-        word = self.hash[self.tokens]
-        start = np.uint64(xxhash.xxh3_64_intdigest(START))
-        place = np.arange(len(self.tokens)) - np.repeat(self.starts, self.sizes)
-        out, context = [], word
+        context, place = self.hash[self.tokens], self.place()
         for n in range(2, order + 1):
-            before = np.empty_like(context)
-            before[1:] = context[:-1]
-            first = place == 0
-            before[first] = start if n == 2 else np.uint64(0)
-            key = extend(before, word)
+            key = np.empty_like(context)
+            key[1:] = context[:-1]
+            key[place == 0] = np.uint64(xxhash.xxh3_64_intdigest(START)) if n == 2 else np.uint64(0)
+            key = extend(key, self.hash[self.tokens])
             if n > 2:
                 key[place < n - 2] = 0
-            out.append(key)
+            yield key
             context = key
-        return out
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct keys, and the rank of every key in them."""
+    order = np.argsort(keys)
+    own = keys[order]
+    new = np.ones(len(own), bool)
+    new[1:] = own[1:] != own[:-1]
+    rank = np.empty(len(keys), np.int32)
+    rank[order] = np.cumsum(new, dtype=np.int32) - 1
+    return own[new], rank
 
 
 def chunks(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,7 +248,7 @@ def ngram_counts(table: DataFrame, out: str, parts: int, order: int) -> DataFram
             for chunk in batch.column("chunk").to_pylist():
                 c = Chunk.read(fs, path_of(root, chunk))
                 for n, keys in enumerate(c.keys(order), 2):
-                    own, back = np.unique(keys, return_inverse=True)
+                    own, back = distinct(keys)
                     counts = np.bincount(back[c.training], minlength=len(own))
                     at = slices(own, parts)
                     filled = np.flatnonzero(np.diff(at))
@@ -283,7 +293,7 @@ class Automaton:
         self.first = np.log10(p)
         # state of each context: by word, then by distinct n-gram of the chunk; -1 where training texts lack it
         count, at = unigram, tokens
-        states = np.full(len(unigram), -1)
+        states = np.full(len(unigram), -1, np.int32)
         if self.order > 1:
             self.start = 1
             seen = self.known.copy()
@@ -294,13 +304,13 @@ class Automaton:
         self.first_to = np.maximum(states, 0)
         longest = self.first_to[tokens]  # of what ends at each token, the longest state so far
         total = 2 + int((states >= 0).sum()) if self.order > 1 else 1
-        fail, fail_count = [np.zeros(total, np.int64)], [np.concatenate([[0, n_docs][: 1 + self.start], count[states >= 0]])]
+        fail, fail_count = [np.zeros(total, np.int32)], [np.concatenate([[0, n_docs][: 1 + self.start], count[states >= 0]])]
         fail_mu = [np.full(total, mus[0])]
         codes, arcs, to = [], [], []
-        place = np.arange(len(tokens)) - np.repeat(c.starts, c.sizes)
+        place = c.place()
         for n, (count_n, at_n) in enumerate(ngrams, 2):
-            rep = np.empty(len(count_n), np.int64)
-            rep[at_n[::-1]] = np.arange(len(at_n))[::-1]  # the first place of each
+            rep = np.empty(len(count_n), np.int32)
+            rep[at_n] = np.arange(len(at_n), dtype=np.int32)  # the last place of each
             seen = (count_n > 0) & (place[rep] >= n - 2)
             own = rep[seen]
             before = np.where(place[own] == 0, -1, states[at[own - 1]])
@@ -308,7 +318,7 @@ class Automaton:
             before = np.where((n == 2) & (place[own] == 0), self.start, before)
             p_n, mu = np.zeros(len(count_n)), mus[min(n - 2, len(mus) - 1)]
             p_n[seen] = (count_n[seen] + mu * p[at[own]]) / (before_count + mu)
-            new = np.full(len(count_n), -1)
+            new = np.full(len(count_n), -1, np.int32)
             if n < self.order:
                 inner = seen.copy()
                 inner[seen] = tokens[own] != end
@@ -318,18 +328,19 @@ class Automaton:
                 fail_count.append(count_n[inner])
                 fail_mu.append(np.full(len(fail_count[-1]), mus[min(n - 1, len(mus) - 1)]))
                 longest = np.where(new[at_n] >= 0, new[at_n], longest)
-            codes.append(before << 32 | tokens[own])
-            arcs.append(np.log10(p_n[seen]))
-            to.append((own, np.full(len(own), n)))
+            # states of longer contexts have higher numbers: sorted by level, the arcs are sorted
+            code = before.astype(np.int64) << 32 | tokens[own]
+            by_code = np.argsort(code)
+            codes.append(code[by_code])
+            arcs.append(np.log10(p_n[seen])[by_code])
+            to.append(own[by_code])
             count, at, states, p = count_n, at_n, new, p_n
         self.fail = np.concatenate(fail)
         fail_mu = np.concatenate(fail_mu)
         self.fail_weight = np.log10(fail_mu / (np.concatenate(fail_count) + fail_mu))
-        codes = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-        by_code = np.argsort(codes)
-        self.codes = codes[by_code]
-        self.arc = (np.concatenate(arcs) if arcs else np.zeros(0))[by_code]
-        self.to = (longest[np.concatenate([own for own, _ in to])] if to else np.zeros(0, np.int64))[by_code]
+        self.codes = np.concatenate(codes) if codes else np.zeros(0, np.int64)
+        self.arc = np.concatenate(arcs) if arcs else np.zeros(0)
+        self.to = longest[np.concatenate(to)] if to else np.zeros(0, np.int32)
 
     def walk(self, tokens: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Log probability of every token: from left to right, all lanes take their t-th step together.
@@ -358,7 +369,7 @@ class Automaton:
             final = np.zeros(n, np.int64)
             rooted = [np.flatnonzero(state == 0)]
             while len(todo):
-                code = state[todo] << 32 | words[todo]
+                code = state[todo].astype(np.int64) << 32 | words[todo]
                 found = np.searchsorted(self.codes, code)
                 found[found == len(self.codes)] = 0
                 takes = self.codes[found] == code if len(self.codes) else np.zeros(len(todo), bool)
@@ -411,7 +422,7 @@ def score(docs: DataFrame, order: int = ORDER, mu: float | tuple[float, ...] = M
         c = Chunk.read(fs, path_of(root, chunk))
         ngrams = []
         for n, keys in enumerate(c.keys(order), 2):
-            ngrams.append((np.concatenate(totals[n]), np.unique(keys, return_inverse=True)[1]))
+            ngrams.append((np.concatenate(totals.pop(n)), distinct(keys)[1]))
         a = Automaton(c, np.concatenate(totals[1]), ngrams, n_tokens, n_types, mus)
         del ngrams
         base = np.add.reduceat(a.first[c.tokens], c.starts)
