@@ -8,8 +8,11 @@ takes blocks in order of these bounds, scores each through the block's own
 forward index, and stops when the next bound is below its k-th score, so the
 result is exact.
 
-Blocks are files in the shared folder.  A task answers a batch of queries: it
-holds the blocks' bounds piece by piece and one block at a time.
+Blocks are files in the shared folder, and so are the nodes of a tree over
+them: a node keeps the bounds of ``FANOUT`` blocks or nodes, and its own bounds
+cover theirs.  A task answers a batch of queries.  It begins with one root for
+each task that wrote blocks, opens the node or block with the best bound next,
+and holds the bounds that are still open and one block at a time.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .shards import filesystem
 
-BLOCK_ROWS, QUERY_ROWS = 2048, 128
+BLOCK_ROWS, QUERY_ROWS, FANOUT = 2048, 128, 64
 SCALE = 1024
 #: Up to here whole numbers are exact in double precision.
 EXACT = 1 << 53
@@ -49,15 +52,16 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(whole, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
-def build(vectors: DataFrame, out: str, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Write the blocks and return their bounds ``(dim, block, path, n, low, high)``.
+def build(vectors: DataFrame, out: str, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int | None = None) -> DataFrame:
+    """Write the blocks and the tree over them; returns its roots ``(dim, path, low, high)``.
 
     Vectors are ordered by length, by the component of greatest size and its
     value, then by id; ranges of that order are dealt to tasks, which cut them
-    in blocks.  Rows whose id or vector is null, or whose vector holds a null
+    in blocks, and have one root for each length of vectors.  Rows whose id or vector is null, or whose vector holds a null
     or non-finite component, take no part.
     """
     spark = vectors.sparkSession
+    block_rows = block_rows or BLOCK_ROWS
     own = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("v"))
     own = own.filter(F.col("id").isNotNull() & _usable(F.col("v")))
     sizes = F.transform("v", F.abs)
@@ -69,34 +73,54 @@ def build(vectors: DataFrame, out: str, id_col: str = "vec_id", vector_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, made = TaskContext.get().partitionId(), []
+        part, attempt, written = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), 0
         fs, root = filesystem(out)
         fs.create_dir(root, recursive=True)
 
-        def flush(dim: int, ids: list, rows: list):
+        def store(kind: str, raw: bytes) -> str:
+            nonlocal written
+            path = f"{root}/{kind}-{part:05d}-{written:07d}"
+            with fs.open_output_stream(f"{path}.{attempt}") as f:
+                f.write(raw)
+            fs.move(f"{path}.{attempt}", path)
+            written += 1
+            return path
+
+        def block(ids: list, rows: list) -> tuple:
             matrix = quantised(rows)
-            path = f"{root}/block-{part:05d}-{len(made):07d}"
-            with fs.open_output_stream(f"{path}.{TaskContext.get().taskAttemptId()}") as f:
-                f.write(struct.pack(HEAD, len(ids), dim) + np.array(ids, "<i8").tobytes() + matrix.astype("<f8").tobytes())
-            fs.move(f"{path}.{TaskContext.get().taskAttemptId()}", path)
-            made.append((dim, part << 32 | len(made), path, len(ids), matrix.min(0).tolist(), matrix.max(0).tolist()))
+            raw = struct.pack(HEAD, len(ids), matrix.shape[1]) + np.array(ids, "<i8").tobytes() + matrix.astype("<f8").tobytes()
+            return store("block", raw), matrix.min(0), matrix.max(0)
+
+        def tree(level: list[tuple]) -> tuple:
+            while len(level) > 1:
+                level = [node(level[i : i + FANOUT]) for i in range(0, len(level), FANOUT)]
+            return level[0]
 
-        dim, ids, rows = -1, [], []
+        def node(children: list[tuple]) -> tuple:
+            low, high = np.array([c[1] for c in children]), np.array([c[2] for c in children])
+            raw = struct.pack(HEAD, *low.shape) + low.astype("<f8").tobytes() + high.astype("<f8").tobytes() + "\n".join(c[0] for c in children).encode()
+            return store("node", raw), low.min(0), high.max(0)
+
+        dim, ids, rows, made, roots = -1, [], [], [], []
         for batch in batches:
             for d, i, v in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 if ids and (d != dim or len(ids) >= block_rows):
-                    flush(dim, ids, rows)
+                    made.append(block(ids, rows))
                     ids, rows = [], []
+                if made and d != dim:
+                    roots.append((dim, *tree(made)))
+                    made = []
                 dim = d
                 ids.append(i)
                 rows.append(v)
         if ids:
-            flush(dim, ids, rows)
-        types = [pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
-        names = ["dim", "block", "path", "n", "low", "high"]
-        yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], t) for k, t in enumerate(types)], names=names)
+            made.append(block(ids, rows))
+        if made:
+            roots.append((dim, *tree(made)))
+        types, names = [pa.int32(), pa.string(), pa.list_(pa.float64()), pa.list_(pa.float64())], ["dim", "path", "low", "high"]
+        yield pa.RecordBatch.from_arrays([pa.array([list(r[k]) if k > 1 else r[k] for r in roots], t) for k, t in enumerate(types)], names=names)
 
-    bounds = ranged.mapInArrow(run, "dim int, block long, path string, n long, low array<double>, high array<double>")
+    bounds = ranged.mapInArrow(run, "dim int, path string, low array<double>, high array<double>")
     bounds.write.parquet(f"{out}/bounds")
     return spark.read.schema(bounds.schema).parquet(f"{out}/bounds")
 
@@ -108,6 +132,23 @@ def read_block(fs, path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, "<i8", n, struct.calcsize(HEAD)), np.frombuffer(raw, "<f8", n * dim, struct.calcsize(HEAD) + 8 * n).reshape(n, dim)
 
 
+def read_node(fs, path: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Paths and bounds of a node's children."""
+    with fs.open_input_file(path) as f:
+        raw = f.read()
+    n, dim = struct.unpack_from(HEAD, raw)
+    head = struct.calcsize(HEAD)
+    low, high = (np.frombuffer(raw, "<f8", n * dim, head + 8 * n * dim * k).reshape(n, dim) for k in range(2))
+    return raw[head + 16 * n * dim :].decode().split("\n"), low, high
+
+
+def bounds_of(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """For each query and each child, a score that nothing below the child exceeds."""
+    # rounding in the sum is far below the slack; it may only let a block in
+    slack = np.abs(q) @ np.maximum(np.abs(low), np.abs(high)).T * 1e-12 + 1
+    return np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T + slack
+
+
 class TopK:
     """The k best of what has been offered: highest score first, ties to the smaller id."""
 
@@ -127,15 +168,11 @@ def answer(query_ids: list[int], rows: list, low: np.ndarray, high: np.ndarray,
     """Results of a batch of equally long queries, and how many (query, block) pairs were scored."""
     q = quantised(rows)
     found = [TopK(k) for _ in query_ids]
-    up, down = np.maximum(q, 0), np.minimum(q, 0)
-    # rounding in the sum is far below the slack; it may only let a block in
-    bound = up @ high.T + down @ low.T
-    slack = np.abs(q) @ np.maximum(np.abs(low), np.abs(high)).T * 1e-12 + 1
-    bound = bound + slack
+    bound, paths = bounds_of(q, low, high), list(paths)
     left, scored = np.ones_like(bound, bool), 0
     own = np.array(query_ids, np.int64)
     while left.any():
-        # each query points at its best block left; the block most queries ask for is read next
+        # each query points at the best node or block left; the one most queries ask for is opened next
         ahead = np.where(left, bound, -np.inf)
         best = ahead.argmax(1)
         wants = ahead[np.arange(len(found)), best]
@@ -146,17 +183,26 @@ def answer(query_ids: list[int], rows: list, low: np.ndarray, high: np.ndarray,
         open_ = left.any(1)
         if not open_.any():
             break
-        block = np.bincount(best[open_], minlength=bound.shape[1]).argmax()
-        ids, matrix = read_block(fs, paths[block])
-        who = np.flatnonzero(left[:, block])
-        need = [i for i in who if (kth := found[i].kth()) is None or bound[i, block] >= kth]
-        if need:
-            scores = products(q[need], matrix)
-            scored += len(need)
-            for i, s in zip(need, scores):
-                other = ids != own[i]
-                found[i].offer(ids[other], s[other])
-        left[:, block] = False
+        chosen = np.bincount(best[open_], minlength=bound.shape[1]).argmax()
+        who = np.flatnonzero(left[:, chosen])
+        need = [i for i in who if (kth := found[i].kth()) is None or bound[i, chosen] >= kth]
+        left[:, chosen] = False
+        if not need:
+            continue
+        if paths[chosen].rsplit("/", 1)[-1].startswith("node-"):
+            children, low, high = read_node(fs, paths[chosen])
+            inner = np.zeros((len(found), len(children)), bool)
+            inner[need] = True
+            keep = np.flatnonzero(left.any(0))  # bounds that no query needs any more go
+            bound, left = np.hstack([bound[:, keep], bounds_of(q, low, high)]), np.hstack([left[:, keep], inner])
+            paths = [paths[c] for c in keep] + children
+            continue
+        ids, matrix = read_block(fs, paths[chosen])
+        scores = products(q[need], matrix)
+        scored += len(need)
+        for i, s in zip(need, scores):
+            other = ids != own[i]
+            found[i].offer(ids[other], s[other])
     return found, scored
 
 
@@ -189,6 +235,7 @@ def search(vectors: DataFrame, queries: Column, out: str, k: int = 10, id_col: s
             for i, v, d in zip(*(batch.column(c).to_pylist() for c in ("id", "v", "dim"))):
                 by_dim.setdefault(d, []).append((i, v))
             for dim, asked in by_dim.items():
+                # one root for each task that wrote blocks
                 table = ds.dataset(root, filesystem=fs, format="parquet").to_table(columns=columns, filter=ds.field("dim") == dim)
                 paths = table.column("path").to_pylist()
                 low, high = (np.array(table.column(c).to_pylist(), np.float64).reshape(len(paths), dim) for c in ("low", "high"))

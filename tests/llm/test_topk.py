@@ -27,10 +27,13 @@ def vectors(n=400, dim=6):
     return rows
 
 
-@pytest.mark.parametrize("block", [7, 1000])
-def test_exact(spark, tmp_path, block, monkeypatch):
+@pytest.mark.parametrize("block,fanout", [(7, 64), (3, 2), (1000, 64)])
+def test_exact(spark, tmp_path, block, fanout, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK_ROWS", block)
+    monkeypatch.setattr(topk, "FANOUT", fanout)
     rows = vectors()
+    # repeated rows, of a query and of another row, and an identifier with two vectors
+    rows += [rows[10], rows[10], rows[11], (20, rows[12][1]), (None, rows[10][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("dim", F.lit(1)).repartition(3)
     got = topk.search(df, F.col("vec_id") % 10 == 0, f"file://{tmp_path}/t", k=5).collect()
     assert sorted(tuple(r) for r in got) == by_hand(rows, 5, 10)
