@@ -13,12 +13,14 @@ that list: the short ones are merged, the ``matches - 1`` longest ones are
 skipped and only asked for those classes that the short ones hold.  A spanning
 forest of the candidate pairs is kept instead of all of them.
 
-A list of more than ``list_block`` classes is not searched but refined.  All
-its classes are compared with one of them, the pivot.  Where that links them
-all, the list is done; else each class is posted again under the next pairs of
-its prefix, in lists of classes that share both pairs, then three, and so on:
-a pair that collides ``matches`` times stays together at every depth, and at
-depth ``matches`` all classes of a list agree with the pivot.
+A list of more than ``list_block`` classes is not searched as it is.  All its
+classes are compared with one of them, the pivot, and components of all links
+of pivots tell which classes are connected already.  Where few classes of the
+list are left, only they are compared with all of it, block by block.  Where
+many are, each class is posted again under the next pairs of its prefix, in
+lists of classes that share both pairs, then three, and so on: a pair that
+collides ``matches`` times stays together at every depth, and at depth
+``matches`` all classes of a list agree with the pivot.
 
 The forests give groups that no candidate pair leaves; in a group the same
 search runs over the full shingle sets with the exact similarity, and its
@@ -253,22 +255,26 @@ class Postings:
 
 
 def search_lists(rows: DataFrame, coordinates: int, matches: int) -> DataFrame:
-    """A spanning forest, list by list, of the pairs of ``rows (list, node, sig)`` that collide ``matches`` times."""
+    """Links that connect, list by list, the pairs of ``rows (list, cell, guest, node, sig)`` that collide ``matches`` times.
+
+    In cells with a guest only the pairs that one belongs to are looked at.
+    """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.select("list", "node", "sig").repartition(n, "list").sortWithinPartitions("list", "node")
+    rows = rows.select("list", "cell", "guest", "node", "sig").repartition(n, "list", "cell").sortWithinPartitions("list", "cell", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in grouped(batches, ["list"]):
+        for table in grouped(batches, ["list", "cell"]):
             sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(table.num_rows, coordinates)
-            node = table.column("node").to_numpy()
-            at = bounds_of(table, ["list"])
+            node, guest = table.column("node").to_numpy(), table.column("guest").to_numpy()
+            at = bounds_of(table, ["list", "cell"])
             sizes = np.diff(at)
             two = at[:-1][sizes == 2]
             two = two[(sig[two] == sig[two + 1]).sum(1) >= matches]
             out = list(zip(node[two].tolist(), node[two + 1].tolist()))
             for begin, size in zip(at[:-1][sizes > 2], sizes[sizes > 2]):
-                lists = Postings(sig[begin : begin + size], matches)
-                out += [(node[begin + i], node[begin + j]) for i, j in spanning(size, lists.agrees)]
+                lists, own = Postings(sig[begin : begin + size], matches), guest[begin : begin + size]
+                agrees = (lambda i, left, lists=lists, own=own: lists.agrees(i, left) & (own[i] | own[left])) if own.any() else lists.agrees
+                out += [(node[begin + i], node[begin + j]) for i, j in spanning(size, agrees)]
             yield _links(out)
 
     return rows.mapInArrow(tidy(run), LINKS)
@@ -285,40 +291,50 @@ def candidate_links(reps: DataFrame, coordinates: int, matches: int, list_block:
     nodes = nodes.select("node", F.transform("own", lambda p: p["key"]).alias("keys"))
     nodes = cut(nodes.join(reps.select("node", "sig"), "node"), "dup-nodes")
     rows = nodes.select("node", F.posexplode(F.slice("keys", 1, F.size("keys") - (matches - 1))).alias("at", "list")).withColumn("label", F.col("node"))
-    links = None
+    links = pivoted = None
     for depth in range(1, matches + 1):
-        # of each list: its size, and whether it holds classes that aren't linked yet
+        # of each list: its size, and whether it holds classes that aren't connected yet
         rows = cut(with_totals(rows.withColumn("one", F.lit(1)), "list", "node", m=("sum", "one"), low=("min", "label"), high=("max", "label")).filter("low < high").drop("one", "low", "high"), "dup-lists")
-        found = search_lists(rows.filter(F.col("m") <= list_block).join(nodes.select("node", "sig"), "node"), coordinates, matches)
+        small = rows.filter(F.col("m") <= list_block).select("list", F.lit(0).alias("cell"), F.lit(False).alias("guest"), "node")
+        big = rows.filter(F.col("m") > list_block)
+        done = big.isEmpty()
+        if not done:
+            pivoted, direct, rows = refine(big, nodes, pivoted, matches, depth, list_block)
+            small = small.unionByName(direct)
+        found = search_lists(small.join(nodes.select("node", "sig"), "node"), coordinates, matches)
         links = found if links is None else links.unionByName(found)
-        big = rows.filter(F.col("m") > list_block).drop("m")
-        if big.isEmpty():
+        if done:
             break
-        more, rows = refine(big, nodes, matches, depth)
-        links = links.unionByName(more)
-    return links.distinct()
+    return (links if pivoted is None else links.unionByName(pivoted)).distinct()
 
 
-def refine(big: DataFrame, nodes: DataFrame, matches: int, depth: int) -> tuple[DataFrame, DataFrame]:
-    """Links of each list's classes with its pivot, and the lists of the next depth.
+def refine(big: DataFrame, nodes: DataFrame, pivoted: DataFrame | None, matches: int, depth: int, list_block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links of all pivots so far, rows to search as they are, and the lists of the next depth.
 
-    ``label`` is the last pivot that a class was linked with (itself before):
-    classes of one label are connected.  A class without a link is taken as
-    pivot before others.
+    ``label`` is the least class that links of pivots connect a class with:
+    classes of one label need no comparison.  Where at most ``list_block``
+    classes of a list have another label than the pivot, they are guests in all
+    blocks of the list, which makes at most twice as many rows as the list has;
+    else the list is refined.
     """
-    order = F.struct((F.col("label") != F.col("node")).alias("linked"), F.xxhash64("list", "node").alias("hash"), F.col("node").alias("pivot"))
-    pivots = big.groupBy("list").agg(F.min(order).alias("p")).select("list", "p.pivot")
+    pivots = big.groupBy("list").agg(F.min(F.struct(F.xxhash64("list", "node").alias("hash"), F.col("node").alias("pivot"))).alias("p")).select("list", "p.pivot")
     pivots = pivots.join(nodes.select(F.col("node").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     salted = big.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALT)).cast("int"))
     both = salted.join(pivots, ["list", "salt"]).join(nodes, "node")
     same = F.aggregate(F.zip_with("sig", "pivot_sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, x: a + x)
-    both = cut(both.withColumn("linked", same >= matches).drop("sig", "pivot_sig", "salt"), "dup-pivots")
-    links = both.filter("linked and node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    open_ = both.withColumn("label", F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("label")))
-    open_ = with_totals(open_, "list", "node", low=("min", "label"), high=("max", "label")).filter("low < high")
+    both = cut(both.withColumn("linked", same >= matches).drop("sig", "pivot_sig", "salt", "label"), "dup-pivots")
+    links = both.filter("linked and node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    pivoted = cut(links if pivoted is None else links.unionByName(pivoted), "dup-pivoted")
+    both = both.join(cut(components(pivoted), "dup-labels"), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root", "linked")
+    both = with_totals(both.withColumn("own", F.when(F.col("node") == F.col("pivot"), F.col("label"))), "list", "node", main=("max", "own"))
+    both = both.withColumn("other", (F.col("label") != F.col("main")).cast("int"))
+    both = cut(with_totals(both, "list", "node", others=("sum", "other")).filter("others > 0").drop("own", "main", "pivot"), "dup-open")
+    few = both.filter(F.col("others") <= list_block).withColumn("blocks", F.ceil(F.col("m") / list_block).cast("int"))
+    few = few.withColumn("home", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("guest", F.col("other") > 0)
+    few = few.withColumn("cell", F.explode(F.when(F.col("guest"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home")))).select("list", "cell", "guest", "node")
     rest = F.slice("keys", F.col("at") + 2, F.greatest(F.size("keys") - F.col("at") - 1 - (matches - depth - 1), F.lit(0)))
-    following = open_.select("node", "label", "list", "at", F.posexplode(rest).alias("more", "key"))
-    return links, following.select("node", (F.col("at") + 1 + F.col("more")).alias("at"), F.xxhash64("list", "key").alias("list"), "label")
+    following = both.filter(F.col("others") > list_block).select("node", "label", "list", "at", F.posexplode(rest).alias("more", "key"))
+    return pivoted, few, following.select("node", (F.col("at") + 1 + F.col("more")).alias("at"), F.xxhash64("list", "key").alias("list"), "label")
 
 
 def similarity(sets: list[np.ndarray], percent: int) -> Callable[[int, np.ndarray], np.ndarray]:
