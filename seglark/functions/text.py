@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from fractions import Fraction
 from functools import reduce
+from operator import xor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -237,11 +238,17 @@ def has_vowel(col: Column, vowels: str = VOWELS) -> Column:
 
 
 def flip(bits: str, at: int) -> str:
-    return bits[:at] + ("0" if bits[at] == "1" else "1") + bits[at + 1 :]
+    """``bits`` with the digit at one place inverted."""
+    return inverted(bits, [at])
 
 
 def flip_n(bits: str, n: int, rng: random.Random) -> str:
-    """``n`` times, invert the digit at a random place."""
-    for _ in range(n):
-        bits = flip(bits, rng.randrange(len(bits))) if bits else bits
-    return bits
+    """``n`` inversions at random places, which may repeat; all places are drawn first."""
+    return inverted(bits, rng.choices(range(len(bits)), k=n)) if bits else bits
+
+
+def inverted(bits: str, places: Iterable[int]) -> str:
+    """``bits`` as a number, with the digits at ``places`` inverted, once for each time a place is named."""
+    width = len(bits)
+    mask = reduce(xor, (1 << (width - 1 - at) for at in places), 0)
+    return format(int(bits, 2) ^ mask, f"0{width}b")

@@ -71,8 +71,9 @@ def frequent_from(gold: DataFrame, threshold: int = FREQUENT, by: Sequence[str]
 
 def neighbours(words: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Pairs of consecutive words of an utterance."""
-    nxt = words.select("utt_id", (F.col("widx") - 1).alias("widx"), F.col("word").alias("w2"))
-    return words.select(*by, "utt_id", "widx", F.col("word").alias("w1")).join(nxt, ["utt_id", "widx"])
+    order = Window.partitionBy("utt_id").orderBy("widx")
+    pairs = words.select(*by, "utt_id", "widx", F.col("word").alias("w1"), F.lead("word").over(order).alias("w2"))
+    return pairs.filter("w2 is not null")
 
 
 def classify_found(gold: DataFrame, found: DataFrame, threshold: int = FREQUENT, by: Sequence[str] = ()) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import pickle
-import random
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -134,32 +136,50 @@ def cut_at(text: str, bits: str) -> list[str]:
     return [text[a:b] for a, b in zip([0, *ends], ends) if b > a]
 
 
+def boundary_cost(text: str, ends: np.ndarray) -> int:
+    """:func:`description_length` of ``text`` cut after the places where ``ends`` holds; its last place always ends a word."""
+    stops = np.append(np.flatnonzero(ends[: len(text) - 1]) + 1, len(text))
+    kinds = {text[a:b] for a, b in zip(np.append(0, stops[:-1]), stops)} - {""}
+    words = len(stops) if text else 0
+    return words + sum(map(len, kinds)) + max(len(kinds) - 1, 0)
+
+
+def temperatures(first: float, cooling: float) -> list[float]:
+    """From ``first`` down, each a ``cooling``-th of the one before, all above one half."""
+    steps = math.ceil(math.log(2 * first, cooling)) if first > 0.5 else 0
+    return [t for t in (first / cooling**k for k in range(steps + 1)) if t > 0.5]
+
+
 def anneal(texts: DataFrame, iterations: int = 100, cooling: float = 1.2, seed: int = 0) -> DataFrame:
     """``(utt_id, bits, words, cost)`` by simulated annealing of ``(utt_id, text, bits)``.
 
-    At each temperature, ``iterations`` guesses invert as many random places as
-    the temperature says and the best is kept; the temperature falls by
-    ``cooling`` until it is one half.  Each text has its own random numbers
-    from ``seed`` and its id.
+    The temperatures go from the number of places down to one half.  At each,
+    ``iterations`` guesses are made from the best segmentation so far, by as
+    many inversions at random places as the temperature says (a place that is
+    drawn twice stays), and the cheapest of them is taken if it costs less.
+    Each text has its own random numbers from ``seed`` and its id.
     """
     ship(texts.sparkSession)
 
+    def settle(key: str, text: str, bits: str) -> tuple[str, int]:
+        rng = np.random.default_rng([seed & 0xFFFFFFFF, zlib.crc32(key.encode())])
+        best = np.array(list(bits), int)
+        cost = boundary_cost(text, best)
+        for heat in temperatures(float(len(bits)), cooling):
+            places = rng.integers(0, len(best), (iterations, round(heat)))
+            turns = np.zeros((iterations, len(best)), int)
+            np.add.at(turns, (np.arange(iterations)[:, None], places), 1)
+            guesses = (best + turns) % 2
+            costs = np.array([boundary_cost(text, g) for g in guesses])
+            if costs.min(initial=cost) < cost:
+                best, cost = guesses[costs.argmin()], int(costs.min())
+        return "".join(map(str, best)), cost
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out = []
-            for i, text, bits in zip(rows["utt_id"], rows["text"], rows["bits"]):
-                rng = random.Random(f"{seed}:{i}")
-                cost = description_length(cut_at(text, bits))
-                heat = float(len(bits))
-                while heat > 0.5:
-                    from_ = bits
-                    for _ in range(iterations):
-                        guess = X.flip_n(from_, round(heat), rng)
-                        value = description_length(cut_at(text, guess))
-                        if value < cost:
-                            cost, bits = value, guess
-                    heat /= cooling
-                out.append((i, bits, cut_at(text, bits), cost))
-            yield pd.DataFrame(out, columns=["utt_id", "bits", "words", "cost"])
+            settled = [settle(str(i), text, bits) for i, text, bits in zip(rows["utt_id"], rows["text"], rows["bits"])]
+            found = rows[["utt_id"]].assign(bits=[b for b, _ in settled])
+            found["words"] = [cut_at(text, b) for text, b in zip(rows["text"], found["bits"])]
+            yield found.assign(cost=[c for _, c in settled])
 
     return texts.select("utt_id", "text", "bits").mapInPandas(run, "utt_id long, bits string, words array<string>, cost long")

@@ -567,7 +567,7 @@ def online_learning(spark, d):
     ship(spark)
     table = spark.read.parquet(f"{d}/conversations.parquet")
     roles = [x["role"] for x in table.select("role").distinct().orderBy("role").collect()]
-    lines = [C.from_table(table.filter(F.col("role").eqNullSafe(x)), C.turn_order(), step=1000).withColumn("run", F.lit(x)) for x in roles]
+    lines = [C.from_table(table.filter(F.col("role").eqNullSafe(x)), C.turn_order(), step=1000).withColumn("run", F.lit(x).cast("string")) for x in roles]
     own = lines[0]
     for more in lines[1:]:
         own = own.unionByName(more)
@@ -716,6 +716,137 @@ def word_list(spark, d):
     return C.word_list(talk(spark, d), tokens=True).groupBy("word", F.col("size").cast("long").alias("size")).agg(F.count("*").alias("cnt"))
 
 
+# further operators, each over whole tables
+
+
+@query(f"""WITH {UTT} SELECT utt_id, string_agg(repeat('false,', length(word) - 1) || 'true', ',' ORDER BY pos) AS ends FROM tok GROUP BY utt_id""")
+def segmentation_booleans(spark, d):
+    return talk(spark, d).select("utt_id", F.array_join(X.to_booleans(F.col("text")).cast("array<string>"), ",").alias("ends"))
+
+
+@query(f"WITH {UTT} SELECT utt_id, string_agg(word, '+' ORDER BY pos) AS line FROM tok GROUP BY utt_id")
+def joined_words(spark, d):
+    return talk(spark, d).select("utt_id", X.join_words(X.words(F.col("text")), "+").alias("line"))
+
+
+_ITEMS = "(VALUES ('a'), ('b'), ('c')) AS {0}(x)"
+
+
+@query("SELECT p.x || '-' || q.x || '-' || r.x AS item FROM " + ", ".join(_ITEMS.format(t) for t in "pqr"))
+def item_sequences(spark, d):
+    return X.sequences(spark, ["a", "b", "c"], 3, "-")
+
+
+@query(f"WITH {_CHART_SQL} SELECT DISTINCT feature FROM chart WHERE phone = 'th'")
+def features_of_phone(spark, d):
+    return features.features_for(_chart(spark), "th")
+
+
+@query(f"WITH {_CHART_SQL} SELECT phone, CASE WHEN length(phone) > 1 THEN 'diphthong' ELSE 'vowel' END AS kind FROM chart WHERE feature = '+syllabic'")
+def syllabic_phones(spark, d):
+    return features.syllabics(_chart(spark))
+
+
+@query(f"WITH {UTT} SELECT sample, cnt FROM lex ORDER BY cnt DESC, sample LIMIT 100")
+def most_frequent(spark, d):
+    """The hundred most frequent words: a report of the first rows in falling order."""
+    return freq.ordered(talk_lexicon(spark, d)).limit(100)
+
+
+@query(f"WITH {UTT}, {DOC} SELECT sample, coalesce(cnt, 0) AS cnt FROM (SELECT DISTINCT word AS sample FROM doc) LEFT JOIN lex USING (sample)")
+def counts_of_samples(spark, d):
+    """Counts in the conversations of the words of the documents; 0 where there is none."""
+    return freq.lookup(talk_lexicon(spark, d), lexicon(spark, d).select("sample")).select("sample", "cnt")
+
+
+@query(f"WITH {UTT} SELECT sample, cnt FROM lex WHERE cnt <> 1")
+def counts_without_hapaxes(spark, d):
+    dist = talk_lexicon(spark, d)
+    return freq.without(dist, freq.hapaxes(dist).select("sample")).select("sample", "cnt")
+
+
+@query("""WITH a AS (SELECT o_orderstatus AS cond, o_custkey AS sample, count(*) AS x FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1, 2),
+b AS (SELECT o_orderstatus AS cond, o_custkey AS sample, count(*) AS y FROM orders GROUP BY 1, 2)
+SELECT cond, bool_and(coalesce(x, 0) = coalesce(y, 0)) AS equal, bool_and(coalesce(x, 0) <= coalesce(y, 0)) AS contained, bool_and(coalesce(x, 0) >= coalesce(y, 0)) AS contains
+FROM a FULL JOIN b USING (cond, sample) GROUP BY cond""")
+def conditional_compare(spark, d):
+    """Counts of the orders with even keys compared with those of all orders, by status."""
+    own = spark.read.parquet(f"{d}/orders.parquet").withColumnRenamed("o_orderstatus", "cond")
+    even = own.filter("o_orderkey % 2 = 0")
+    return freq.compare(freq.count(even, "o_custkey", by=["cond"]), freq.count(own, "o_custkey", by=["cond"]), ["cond"])
+
+
+_ASKED = "asked AS (SELECT a, b, t FROM (SELECT DISTINCT a, b FROM g3 UNION SELECT 'none', t FROM g1 UNION SELECT 'none', 'never'), (SELECT t FROM g1 UNION ALL SELECT '' UNION ALL SELECT 'never'))"
+
+
+def _all_ngrams(spark, seqs: DataFrame) -> DataFrame:
+    """Every event type, the pad and an unknown one after every seen context and after contexts that are known in part or not at all."""
+    seen = ngram_model.asked_of(seqs.select("tokens"), 3).select("context").distinct()
+    types = seqs.select(F.explode("tokens").alias("t")).distinct()
+    partly = types.select(F.array(F.lit("none"), F.col("t")).alias("context"))
+    none = spark.createDataFrame([(["none", "never"],)], "context array<string>")
+    others = spark.createDataFrame([("",), ("never",)], "token string")
+    return seen.unionByName(partly).unionByName(none).crossJoin(types.select(F.col("t").alias("token")).unionByName(others))  # contexts by event types
+
+
+@query(f"WITH {_SEQ}, {_ASKED} SELECT a || '|' || b AS context, t AS token FROM asked JOIN g3 USING (a, b, t)")
+def known_ngrams(spark, d):
+    seqs = _sequences(spark, d)
+    return ngram_model.known(ngram_model.train(seqs, 3), _all_ngrams(spark, seqs)).select(F.array_join("context", "|").alias("context"), "token")
+
+
+@query(f"""WITH {_SEQ}, {_ASKED},
+b1 AS (SELECT max(beta) AS b1 FROM p1), b2 AS (SELECT a AS b, max(beta) AS b2 FROM p2 GROUP BY a),
+b3 AS (SELECT a, b, max(v * 0.2 / (n + v * 0.2)) AS b3 FROM (SELECT a, b, sum(c) AS n FROM g3 GROUP BY a, b), v GROUP BY a, b)
+SELECT a || '|' || b AS context, t AS token,
+       round(coalesce(p3.p, coalesce(b3, 1) / coalesce(b2, 1) * coalesce(p2.p, coalesce(b2, 1) / b1 * coalesce(p1.p, b1.b1 * 0))), 12) AS prob
+FROM asked LEFT JOIN p3 USING (a, b, t) LEFT JOIN p2 ON p2.a = asked.b AND p2.t = asked.t LEFT JOIN p1 ON p1.t = asked.t LEFT JOIN b3 USING (a, b) LEFT JOIN b2 ON b2.b = asked.b, b1""")
+def katz_backoff(spark, d):
+    """Back-off probabilities also of n-grams that were never seen."""
+    seqs = _sequences(spark, d)
+    scored = ngram_model.score(ngram_model.train(seqs, 3), _all_ngrams(spark, seqs))
+    return scored.select(F.array_join("context", "|").alias("context"), "token", r("prob", 12).alias("prob"))
+
+
+def _among(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+@query(f"""WITH {_SIDES}, x AS (
+  SELECT g.utt_id, g.pos AS widx, tc.kind, g.word, count(*) > 1 AS many, bool_or(f.word IN ({_among(evaluate.VOWEL_WORDS)})) AS vowel, bool_or(f.word IN ({_among(evaluate.AFFIX_WORDS)})) AS affix
+  FROM g JOIN f ON g.utt_id = f.utt_id AND g.s < f.e AND f.s < g.e JOIN tc ON tc.utt_id = g.utt_id AND tc.pos = g.pos GROUP BY 1, 2, 3, 4)
+SELECT utt_id, widx, many AND vowel AS vowel_over, many AND affix AS affix_over, kind IN ('under', 'both') AND word IN ({_among(evaluate.DETERMINER_WORDS)}) AS determiner_under FROM x""")
+def true_word_flags(spark, d):
+    return evaluate.classify_true(*_sides(spark, d)).select("utt_id", big("widx"), "vowel_over", "affix_over", "determiner_under")
+
+
+@query(f"""WITH {_SIDES}, x AS (
+  SELECT f.utt_id, f.pos AS widx, fc.kind, f.word, count(*) > 1 AS many, bool_or(g.word IN ({_among(evaluate.DETERMINER_WORDS)})) AS determiner
+  FROM f JOIN g ON g.utt_id = f.utt_id AND g.s < f.e AND f.s < g.e JOIN fc ON fc.utt_id = f.utt_id AND fc.pos = f.pos GROUP BY 1, 2, 3, 4)
+SELECT utt_id, widx, kind IN ('over', 'partial') AND word IN ({_among(evaluate.VOWEL_WORDS)}) AS vowel_over, kind IN ('over', 'partial') AND word IN ({_among(evaluate.AFFIX_WORDS)}) AS affix_over, many AND determiner AS determiner_under FROM x""")
+def found_word_flags(spark, d):
+    return evaluate.classify_found(*_sides(spark, d)).select("utt_id", big("widx"), "vowel_over", "affix_over", "determiner_under")
+
+
+@query(f"""WITH {UTT}, o AS (SELECT utt_id, row_number() OVER (ORDER BY utt_id) AS n FROM utt)
+SELECT CAST(((n - 1 - 25) // 50 + 1) * 50 + 25 AS BIGINT) AS block, count(*) AS words FROM tok JOIN o USING (utt_id) WHERE n > 25 GROUP BY 1""")
+def blocks_after_the_first(spark, d):
+    """Words of blocks of fifty utterances, without the first 25."""
+    words = evaluate.with_block(evaluate.word_table(C.numbered(talk(spark, d))), 50, ignore=25)
+    return words.groupBy(F.col("block").cast("long").alias("block")).agg(F.count("*").alias("words"))
+
+
+@query(f"""WITH {UTT} SELECT a.word, CAST(coalesce(sum(b.cnt), 0) AS BIGINT) AS cnt FROM typ a LEFT JOIN lex b ON b.sample <> a.word AND (starts_with(b.sample, a.word) OR ends_with(b.sample, a.word)) GROUP BY 1""")
+def affix_token_counts(spark, d):
+    """How many tokens begin or end with each word and are longer."""
+    return substrings.containment(C.word_list(talk(spark, d), tokens=True), prefix=True, suffix=True, tokens=True)
+
+
+@query(f"WITH {UTT} SELECT word, regexp_matches(word, '[{X.VOWELS}]') AS syllabic FROM typ")
+def words_with_vowels(spark, d):
+    return C.word_types(talk(spark, d)).select("word", X.has_vowel(F.col("word")).alias("syllabic"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Segmentation of all conversation lines under a frozen model."""
     return viterbi_segmentation(spark, d)

@@ -178,3 +178,24 @@ def test_anneal(spark):
     a, b = (search.anneal(rows, 20, 1.5, seed=4).first() for _ in range(2))
     assert a == b and "".join(a["words"]) == "doyouseethedoggy" and a["cost"] <= search.description_length(["doyouseethedoggy"])
     assert search.description_length(["yu", "want", "tu", "want"]) == 14
+
+
+def test_cost_from_boundaries():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for text in ("", "a", "abab", "doyouseethedoggydoyou"):
+        for _ in range(30):
+            bits = rng.integers(0, 2, max(0, len(text) - 1))
+            assert search.boundary_cost(text, bits) == search.description_length(search.cut_at(text, "".join(map(str, bits))))
+    assert search.temperatures(4.0, 2.0) == [4.0, 2.0, 1.0] and search.temperatures(0.5, 2.0) == []
+
+
+def test_a_run_without_a_name(spark):
+    from seglark.plans import learner
+
+    rows = [(None, 1, "we want it"), ("a", 1, "we want"), (None, 2, "it"), ("b", 1, "x")]
+    own = spark.createDataFrame(rows, "run string, utt_id long, text string")
+    got = {(r["run"], r["utt_id"]): "".join(r["words"]) for r in learner.run(own, {None: SegmenterConfig(exact=False), "a": SegmenterConfig(exact=False)}).collect()}
+    assert got == {(None, 1): "wewantit", (None, 2): "it", ("a", 1): "wewant"}
+    assert learner.run(own, {"b": SegmenterConfig(exact=False)}).count() == 1

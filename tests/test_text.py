@@ -57,5 +57,9 @@ def test_scalars(spark):
     with pytest.raises(ValueError):
         X.parse_rational("-1")
     assert X.flip("010", 1) == "000"
-    assert len(X.flip_n("0" * 9, 3, random.Random(1))) == 9
+    assert X.flip("1", 0) == "0" and X.flip("0010", 0) == "1010" and X.inverted("0101", [0, 3, 3]) == "1101"
+    for n in range(6):
+        turned = X.flip_n("0" * 9, n, random.Random(n))
+        assert len(turned) == 9 and turned.count("1") <= n and turned.count("1") % 2 == n % 2
+    assert X.flip_n("", 3, random.Random(1)) == ""
     assert sorted(r["item"] for r in X.sequences(spark, ["a", "b"], 2).collect()) == ["aa", "ab", "ba", "bb"]
