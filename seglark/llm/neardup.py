@@ -317,7 +317,8 @@ def refine(big: DataFrame, nodes: DataFrame, pivoted: DataFrame | None, matches:
     blocks of the list, which makes at most twice as many rows as the list has;
     else the list is refined.
     """
-    pivots = big.groupBy("list").agg(F.min(F.struct(F.xxhash64("list", "node").alias("hash"), F.col("node").alias("pivot"))).alias("p")).select("list", "p.pivot")
+    # lists of one depth that share most of their classes take the same pivot, so that their links to it are the same
+    pivots = big.groupBy("list").agg(F.min(F.struct(F.xxhash64(F.lit(depth), "node").alias("hash"), F.col("node").alias("pivot"))).alias("p")).select("list", "p.pivot")
     pivots = pivots.join(nodes.select(F.col("node").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     salted = big.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALT)).cast("int"))
     both = salted.join(pivots, ["list", "salt"]).join(nodes, "node")
