@@ -199,3 +199,17 @@ def test_a_run_without_a_name(spark):
     got = {(r["run"], r["utt_id"]): "".join(r["words"]) for r in learner.run(own, {None: SegmenterConfig(exact=False), "a": SegmenterConfig(exact=False)}).collect()}
     assert got == {(None, 1): "wewantit", (None, 2): "it", ("a", 1): "wewant"}
     assert learner.run(own, {"b": SegmenterConfig(exact=False)}).count() == 1
+
+
+def test_logarithms_find_what_exact_numbers_find():
+    """Equal products of different factors: their sums of logarithms differ in the last digits."""
+    lines = ["bbab", "c", "ba", "bb", "ccc", "cab  b bc", "accc ca", "bcc", "bb", "a ab", "acbc", "ba b"]
+    options = dict(type_denominator=True, supervised_for=6, semisupervised=True)
+    exact, logs = (learner.learn(lines, SegmenterConfig(exact=e, **options)) for e in (True, False))
+    assert [f[0][1] for f in logs] == [f[0][1] for f in exact]
+
+
+def test_pairs_are_counted_when_asked_for():
+    m = Segmenter(SegmenterConfig(exact=False), "abc")
+    m.learn_word("abc" * 1000)
+    assert not m.piecewise._pairs and m.piecewise.pairs["ab"] == pytest.approx(1000.0001)
