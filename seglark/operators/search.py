@@ -27,6 +27,21 @@ def candidates(utts: DataFrame, max_word_len: int | None = None, delim: str = "
     return X.each_substring(utts.select("utt_id", text.alias("t")), "t", max_word_len)
 
 
+def candidate_totals(utts: DataFrame, max_word_len: int | None = None, delim: str = " ") -> DataFrame:
+    """``(utt_id, n, symbols)``: how many :func:`candidates` an utterance has and how long they are together.
+
+    A text of L symbols has L - k + 1 substrings of length k, so both sums
+    follow from L; utterances without symbols have no candidates and no row.
+    """
+    size = F.length(X.strip_delimiters(F.col("text"), delim)).cast("long")
+    most = F.col("size") if max_word_len is None else F.least("size", F.lit(max_word_len).cast("long"))
+    sums = utts.select("utt_id", size.alias("size")).filter("size > 0").select("utt_id", "size", most.alias("m"))
+    # sums over k = 1..m of L - k + 1, and of k (L - k + 1)
+    n = F.expr("m * (size + 1) - m * (m + 1) div 2")
+    symbols = F.expr("m * (m + 1) div 2 * (size + 1) - m * (m + 1) * (2 * m + 1) div 6")
+    return sums.groupBy("utt_id").agg(F.sum(n).alias("n"), F.sum(symbols).alias("symbols"))
+
+
 def viterbi(scored: DataFrame) -> DataFrame:
     """``(utt_id, offsets, score)`` from ``(utt_id, s, e, score)`` with logarithms.
 
