@@ -213,3 +213,17 @@ def test_pairs_are_counted_when_asked_for():
     m = Segmenter(SegmenterConfig(exact=False), "abc")
     m.learn_word("abc" * 1000)
     assert not m.piecewise._pairs and m.piecewise.pairs["ab"] == pytest.approx(1000.0001)
+
+
+@pytest.mark.parametrize("most", [None, 1, 4, 5, 8])
+def test_substrings_by_suffixes(spark, most):
+    """Against every substring; what moves is a row a symbol, so the plan has no row per substring before its last step."""
+    lines = ["abababab", "aaaaaaaaa", "xabababy", "é😀é😀é😀é", "abababab", "b", ""]
+    own = corpus_of(spark, lines)
+    every = [t[s:e] for t in lines for s in range(len(t)) for e in range(s + 1, len(t) + 1) if most is None or e - s <= most]
+    counts = cues.subsequence_counts(own, most)
+    rows = [(r["gram"], r["subs"]) for r in counts.collect()]
+    assert len(rows) == len(set(every)) and dict(rows) == {w: every.count(w) for w in every}
+    if most is None:
+        plan = counts._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate [word" not in plan and "suffix" in plan
