@@ -65,12 +65,26 @@ def words_at(text: Column, offsets: Column) -> Column:
     return F.zip_with(F.slice(offsets, 1, F.size(offsets) - 1), F.slice(offsets, 2, F.size(offsets) - 1), lambda a, b: F.substring(text, a + 1, b - a))
 
 
+def bits(col: Column, delim: str = " ") -> Column:
+    """:func:`to_bits` as a string of digits, from the sizes of the words."""
+    return F.array_join(F.transform(words(col, delim), lambda w: F.concat(F.repeat(F.lit("0"), F.length(w) - 1), F.lit("1"))), "")
+
+
 def words_from_bits(text: Column, bits: Column) -> Column:
     """Words of ``text`` cut after each place whose digit in ``bits`` is 1; ``bits`` is one shorter than ``text``."""
-    n = F.length(text)
-    places = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
-    cuts = F.filter(places, lambda i: F.substring(bits, i, F.lit(1)) == "1")
-    return F.filter(words_at(text, F.concat(F.array(F.lit(0)), cuts, F.array(n))), lambda w: w != "")
+
+    def cut(t: str | None, b: str | None) -> list[str]:
+        out, at, t = [], 0, t or ""
+        for zeros in (b or "")[: max(0, len(t) - 1)].split("1")[:-1]:
+            out.append(t[at : at + len(zeros) + 1])
+            at += len(zeros) + 1
+        return [*out, t[at:]] if t else []
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series, digits: pd.Series) -> pd.Series:
+        return pd.Series([cut(t, b) for t, b in zip(texts, digits)], dtype=object)
+
+    return run(text, bits)
 
 
 def char_ngrams(col: Column, n: int, left: str = "", right: str = "") -> Column:

@@ -63,3 +63,16 @@ def test_scalars(spark):
         assert len(turned) == 9 and turned.count("1") <= n and turned.count("1") % 2 == n % 2
     assert X.flip_n("", 3, random.Random(1)) == ""
     assert sorted(r["item"] for r in X.sequences(spark, ["a", "b"], 2).collect()) == ["aa", "ab", "ba", "bb"]
+
+
+def test_words_from_bits_of_a_long_text(spark):
+    """One pass over a text, not a look from its beginning for each place."""
+    from pyspark.sql import functions as F
+
+    from seglark.functions import text as X
+
+    rows = [("é" * 300_000, "001" * 99_999 + "00"), ("", ""), ("a", ""), ("abc", "11"), ("abc", "0"), (None, None)]
+    df = spark.createDataFrame(rows, "t string, b string")
+    got = [r[0] for r in df.select(X.words_from_bits(F.col("t"), F.col("b"))).collect()]
+    assert got[0] == ["ééé"] * 100_000 and got[1:] == [[], ["a"], ["a", "b", "c"], ["abc"], []]
+    assert [r[0] for r in spark.createDataFrame([("ab  c d",), ("",)], "t string").select(X.bits(F.col("t"))).collect()] == ["0111", ""]
