@@ -194,11 +194,16 @@ def phoneme(words: DataFrame, model: FrozenModel, subseqs: DataFrame | None = No
     """``(word, phoneme)``: the n-gram score of every word."""
     config, w = model.config, max(1, model.config.phoneme_window)
     delim = config.word_delimiter
-    grams = words.select("word", F.explode_outer(word_grams(config, F.col("word"), w, w)).alias("gram"))
+    each = word_grams(config, F.col("word"), w, w)
+    grams = words.select("word", F.explode_outer(each).alias("gram"))
+    if config.hypothetical_phonotactics:
+        # a row for each distinct n-gram of a word, counted within the word
+        counted = F.transform(F.array_distinct("each"), lambda g: F.struct(g.alias("gram"), F.size(F.filter("each", lambda x: x == g)).alias("mine")))
+        grams = words.select("word", each.alias("each")).select("word", F.size("each").alias("size"), F.explode_outer(counted).alias("x")).select("word", "size", "x.gram", F.coalesce("x.mine", F.lit(1)).alias("mine"))
     grams = grams.withColumn("prefix", F.substring("gram", 1, w - 1))
     top = model.ngrams.filter(F.col("n") == w).select("gram", "cnt")
     lower = model.ngrams.filter(F.col("n") == w - 1).select(F.col("gram").alias("prefix"), F.col("cnt").alias("under"))
-    grams = grams.join(top, "gram", "left")
+    grams = grams.join(F.broadcast(top) if w == 1 else top, "gram", "left")  # at most the alphabet
     grams = grams.join(lower, "prefix", "left") if w > 1 else grams.withColumn("under", F.lit(None).cast("double"))
     own = F.coalesce("cnt", F.lit(model.initial[w]))
     under = F.coalesce("under", F.lit(model.initial.get(w - 1, 0.0)))
@@ -207,10 +212,7 @@ def phoneme(words: DataFrame, model: FrozenModel, subseqs: DataFrame | None = No
     delim_count = F.lit(float(delims))
     if config.hypothetical_phonotactics:
         # what the counts would be with this word: its own n-grams come on top
-        local = words.select("word", F.explode(word_grams(config, F.col("word"), w, w)).alias("gram")).groupBy("word", "gram").agg(F.count("*").alias("mine"))
-        sizes = local.groupBy("word").agg(F.sum("mine").alias("size"))
-        grams = grams.join(local, ["word", "gram"], "left").join(sizes, "word", "left")
-        own, total = own + F.coalesce("mine", F.lit(0)), total + F.coalesce("size", F.lit(0))
+        own, total = own + F.col("mine"), total + F.col("size")
         if w > 1:
             below = words.select("word", F.explode(word_grams(config, F.col("word"), w - 1, w)).alias("prefix")).groupBy("word", "prefix").agg(F.count("*").alias("mine_under"))
             grams = grams.join(below, ["word", "prefix"], "left")
@@ -227,7 +229,8 @@ def phoneme(words: DataFrame, model: FrozenModel, subseqs: DataFrame | None = No
         p = own / total
     else:
         p = own / (F.nullif(under, F.lit(0.0)) if w > 1 else total)
-    grams = grams.select("word", ln(F.coalesce(p, F.lit(0.0))).alias("x"), F.col("gram").isNull().alias("short"), (delim_count / unit_total).alias("ends"))
+    times = F.col("mine") if config.hypothetical_phonotactics else F.lit(1)
+    grams = grams.select("word", (ln(F.coalesce(p, F.lit(0.0))) * times).alias("x"), F.col("gram").isNull().alias("short"), (delim_count / unit_total).alias("ends"))
     out = grams.groupBy("word").agg(summed(F.col("x")).alias("x"), F.bool_or("short").alias("short"), F.max("ends").alias("ends"))
     base = F.lit(0.0) if config.mbdp or config.no_lexicon else ln(F.lit(model.n_types / (model.n_types + model.n_words)))
     if w == 1:

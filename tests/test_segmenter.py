@@ -227,3 +227,9 @@ def test_substrings_by_suffixes(spark, most):
     if most is None:
         plan = counts._jdf.queryExecution().optimizedPlan().toString()
         assert "Aggregate [word" not in plan and "suffix" in plan
+
+
+def test_a_words_own_counts_need_no_join(spark):
+    corpus, config = corpus_of(spark), SegmenterConfig(hypothetical_phonotactics=True)
+    scored = cues.phoneme(C.word_types(corpus), cues.train(corpus, config))
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
