@@ -5,14 +5,17 @@ from __future__ import annotations
 import math
 import pickle
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans.frozen import FrozenSearch
 from ..plans.learner import Segmenter
 from ..session import ship
 from .cues import FrozenModel
@@ -70,16 +73,34 @@ def viterbi(scored: DataFrame) -> DataFrame:
     return found.select("utt_id", trace.alias("offsets"), "score")
 
 
-def segment_with(utts: DataFrame, model: Segmenter, n_best: int = 1) -> DataFrame:
+def segment_with(utts: DataFrame, model: Segmenter | FrozenSearch, n_best: int = 1) -> DataFrame:
     """``(utt_id, rank, weight, words)`` under a frozen model held in memory.
 
-    Utterances are searched where they are, without a shuffle.  ``weight`` is
-    the product over that of the best path.  The model is broadcast and may
-    have ``MAX_MODEL`` bytes; larger ones are scored by joins (:func:`viterbi`
-    over ``combine.score_words``).
+    Utterances are searched where they are, without a shuffle, in batches if
+    :class:`FrozenSearch` can, else one by one.  ``weight`` is the product over
+    that of the best path.  The model is broadcast and may have ``MAX_MODEL``
+    bytes; larger ones are scored by joins (:func:`viterbi` over
+    ``combine.score_words``).
     """
     spark = utts.sparkSession
     ship(spark)
+    utts = utts.select(F.col("utt_id").cast("long").alias("utt_id"), "text")
+    schema = "utt_id long, rank int, weight double, words array<string>"
+    batch = model if isinstance(model, FrozenSearch) else FrozenSearch.of(model) if n_best == 1 else None
+    if batch is not None:
+        if n_best > 1:
+            raise ValueError("batches are searched for the best path only")
+        if batch.nbytes > MAX_MODEL:
+            raise ValueError("the model is too large to send to tasks: score candidates by joins")
+        shared = spark.sparkContext.broadcast(batch)
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in batches:
+                words, at = shared.value.segment(rows["text"])
+                n = len(at)
+                yield pa.RecordBatch.from_arrays([rows["utt_id"].take(pa.array(at)), pa.array(np.ones(n, np.int32)), pa.array(np.ones(n)), words], ["utt_id", "rank", "weight", "words"])
+
+        return utts.mapInArrow(search, schema)
     raw = pickle.dumps(model)
     if len(raw) > MAX_MODEL:
         raise ValueError("the model is too large to send to tasks: score candidates by joins")
@@ -101,7 +122,7 @@ def segment_with(utts: DataFrame, model: Segmenter, n_best: int = 1) -> DataFram
                 own.pending.clear()
             yield pd.DataFrame(out, columns=["utt_id", "rank", "weight", "words"])
 
-    return utts.select(F.col("utt_id").cast("long").alias("utt_id"), "text").mapInPandas(run, "utt_id long, rank int, weight double, words array<string>")
+    return utts.mapInPandas(run, schema)
 
 
 def n_best(scored: DataFrame, k: int) -> DataFrame:
@@ -120,21 +141,46 @@ def n_best(scored: DataFrame, k: int) -> DataFrame:
 
 def load(model: FrozenModel, max_rows: int = 5_000_000) -> Segmenter:
     """A frozen model's tables in memory; refused beyond ``max_rows`` words or n-grams."""
-    own = Segmenter(model.config)
     for table in (model.lexicon, model.ngrams):
         if table.limit(max_rows + 1).count() > max_rows:
             raise ValueError("the model is too large to hold: score candidates by joins")
+    own = _without_words(model, model.ngrams.toLocalIterator())
     own.lexicon.update((r["word"], own.number(r["cnt"])) for r in model.lexicon.toLocalIterator())
+    return own
+
+
+def _without_words(model: FrozenModel, ngrams: Iterable[Row]) -> Segmenter:
+    own = Segmenter(model.config)
     own.total = own.number(model.n_words)
     cue = own.phoneme
     for n in range(1, cue.window + 1):
         cue.totals[n - 1], cue.initial[n - 1] = own.number(model.totals[n]), own.number(model.initial[n])
-    for r in model.ngrams.toLocalIterator():
+    for r in ngrams:
         if r["n"] <= cue.window:
             cue.counts[r["n"] - 1][r["gram"]] = own.number(r["cnt"])
     return own
 
 
+def load_batch(model: FrozenModel) -> FrozenSearch | Segmenter:
+    """A frozen model in memory for the search of whole batches, where its options have one; else :func:`load`.
+
+    The words come as one table of columns and go into a trie, of any number
+    of them; :func:`segment_with` says what it can send.
+    """
+    own = Segmenter(model.config)
+    if model.config.exact or model.config.max_word_len is not None or model.config.n_best > 1 or not own._by_symbols():
+        return load(model)
+    own = _without_words(model, model.ngrams.collect())  # single symbols: an alphabet
+    table = model.lexicon.select(F.col("word"), F.col("cnt").cast("double").alias("cnt")).toArrow()
+    words = pa.concat_arrays([x.cast(pa.large_string()) for x in table["word"].chunks]) if table.num_rows else pa.array([], pa.large_string())
+    counts = table["cnt"].to_numpy()
+    mark = model.config.utterance_delimiter
+    if not pc.any(pc.equal(words, mark)).as_py():  # it is in every lexicon
+        words, counts = pa.concat_arrays([words, pa.array([mark], pa.large_string())]), np.append(counts, 0.0)
+    costs = own.symbol_costs(len(words))
+    return FrozenSearch(own.delim, words, counts, costs) if FrozenSearch.finite(costs) else load(model)
+
+
 def description_length(words) -> int:
     """Words of a text, and the length of its lexicon written with blanks between."""
     return len(words) + len(" ".join(set(words)))
